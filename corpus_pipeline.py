@@ -1,0 +1,10 @@
+"""A corpus pipeline over ``documents``; its stages follow."""
+
+from __future__ import annotations
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
