@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode defines it; U+001C to U+001F are not part of it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Words longer than this are encoded without the cache, which holds so many words before it starts anew.
+#: Words longer than this are encoded without the cache, which holds so many words in each of its two generations.
 CACHED_CHARS, CACHED_WORDS = 48, 300_000
 #: Text characters that go into one batch of results, about.
 SLICE_CHARS = 2_000_000
@@ -40,6 +40,27 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Seen(dict):
+    """What ``make`` gives for the keys seen of late: two generations of at most about CACHED_WORDS keys each."""
+
+    def __init__(self, make, old: dict | None = None):
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            self[key] = found
+        return found
+
+    def turned(self) -> Seen:
+        if len(self) < CACHED_WORDS:
+            return self
+        self.old = {}
+        return Seen(self.make, self)
+
+
 class TokenAutomaton:
     """The compiled vocabulary. ``spec`` is the parsed vocabulary file (JSON of the tokenizers library)."""
 
@@ -64,7 +85,7 @@ class TokenAutomaton:
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + suffix] for s in symbols]
         self._compile(vocab, model["merges"])
-        self.cache: dict[str, bytes] = {}
+        self.words, self.pieces_seen = Seen(self._chunk), Seen(self._word_ids)
 
     def _compile(self, vocab: dict[str, int], merges: list) -> None:
         n = len(self.labels)
@@ -79,22 +100,17 @@ class TokenAutomaton:
             self.removed[u * n + v] = k
             self.left[w], self.right[w], self.made[w] = u, v, k
         self.arcs: dict[int, bool] = {}
-        self.step: dict[int, int] = {}
-        self.token_at = [-1]
-        spelled: dict[int, list[int]] = {}
-        for t in [*self.inner, *self.final]:
-            spelled[t] = [t]
+        self.trie: dict = {}
+        spelled: dict[int, str] = {}
+        for b in range(256):
+            spelled[self.inner[b]], spelled[self.final[b]] = chr(b), chr(256 + b)
         for w in sorted((t for t in range(n) if self.made[t] >= 0), key=self.made.__getitem__):
             spelled[w] = spelled[self.left[w]] + spelled[self.right[w]]
         for t, path in spelled.items():
-            node = 0
+            node = self.trie
             for symbol in path:
-                key = node * n + symbol
-                if key not in self.step:
-                    self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = self.step[key]
-            self.token_at[node] = t
+                node = node.setdefault(symbol, {})
+            node[""] = t
 
     def follows(self, t: int, w: int) -> bool:
         """Whether the state after token ``t`` has an arc ``w``; answered from the table after the first time."""
@@ -122,37 +138,54 @@ class TokenAutomaton:
             else:
                 before, x = min(before, made), self.right[x]
 
+    def _starts(self, path: str, at: int) -> list[tuple[int, int]]:
+        """The tokens that start at ``at`` and where they end, the longest last."""
+        node, found = self.trie, []
+        for e in range(at, len(path)):
+            node = node.get(path[e])
+            if node is None:
+                break
+            t = node.get("")
+            if t is not None:
+                found.append((t, e + 1))
+        return found
+
     def word(self, piece: str) -> list[int]:
-        """The tokens of one pre-split word: for each end, the only token that continues an accepted path."""
+        """The tokens of one pre-split word: the accepted path, looked for with long tokens first.
+
+        A prefix has one accepted path at most, so an end from which no path goes on is never tried again, and the work
+        is bounded by the word's length times the longest token's.
+        """
         data = piece.encode()
-        path = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
-        n, last, came = len(path), [-1] * (len(path) + 1), [0] * (len(path) + 1)
-        step, token_at, width, follows = self.step.get, self.token_at, self.n, self.follows
-        for i in range(n):
-            before, node = last[i], 0
-            for e in range(i, n):
-                node = step(node * width + path[e])
-                if node is None:
-                    break
-                t = token_at[node]
-                if t >= 0 and (i == 0 or follows(before, t)):
-                    last[e + 1], came[e + 1] = t, i
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = came[at]
-        return out[::-1]
+        path = data[:-1].decode("latin-1") + chr(256 + data[-1])
+        n, tokens, ends, waiting, dead = len(path), [], [0], [], set()
+        open_, arcs, width = self._starts(path, 0), self.arcs, self.n
+        while True:
+            while open_:
+                t, e = open_.pop()
+                if e in dead:
+                    continue
+                if tokens:
+                    fits = arcs.get(tokens[-1] * width + t)
+                    if not (self.follows(tokens[-1], t) if fits is None else fits):
+                        continue
+                tokens.append(t)
+                if e == n:
+                    return tokens
+                ends.append(e)
+                waiting.append(open_)
+                open_ = self._starts(path, e)
+            dead.add(ends.pop())
+            tokens.pop()
+            open_ = waiting.pop()
+
+    def _word_ids(self, piece: str) -> bytes:
+        return np.array(self.word(piece), "<u4").tobytes()
 
     def _chunk(self, raw: str) -> bytes:
         """The ids of one run without white space, little-endian."""
         text = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ")
-        ids = [t for piece in self.pieces(text.lower()) for t in self.word(piece)]
-        found = np.array(ids, "<u4").tobytes()
-        if len(raw) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[raw] = found
-        return found
+        return b"".join(map(self.pieces_seen.__getitem__, self.pieces(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers; null is empty."""
@@ -167,11 +200,8 @@ class TokenAutomaton:
         words = text.split()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             words = [w for w in self.spaces.split(text) if w]
-        found = list(map(self.cache.get, words))
-        if None in found:
-            chunk, get = self._chunk, self.cache.get
-            found = [(get(w) or chunk(w)) if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
+        self.words, self.pieces_seen = self.words.turned(), self.pieces_seen.turned()
+        return b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: bytes | None) -> str:
         """The labels of the arcs, with a space between."""

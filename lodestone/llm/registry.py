@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": simhash.op5_query}
+    return {
+        "op1_bpe": bpe.op1_query,
+        "op5_simhash": simhash.op5_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
