@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash
+from . import bpe, secrets, simhash, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_query,
+        "op3_warc": warc.op3_query,
         "op5_simhash": simhash.op5_query,
+        "op8_urlfilter": urlfilter.op8_query,
         "op9_secrets": secrets.op9_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc": warc.OP3_SQL,
+        "op8_urlfilter": urlfilter.OP8_SQL,
+    }
