@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secrets, simhash, urlfilter, warc
+from . import bpe, quality, secrets, simhash, tiling, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_query,
         "op3_warc": warc.op3_query,
         "op5_simhash": simhash.op5_query,
+        "op6_tiling": tiling.op6_query,
         "op8_urlfilter": urlfilter.op8_query,
         "op9_secrets": secrets.op9_query,
         "op10_quality": quality.op10_query,
