@@ -237,3 +237,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op5_query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """One row of each near-duplicate component of ``docs``: the least id's, and of rows that share it the first read.
+
+    A null id comes before all others here. All columns stay as they are. Rows get a number, written out with them, so
+    that repeated rows can be told apart whatever the executors do.
+    """
+    tables = StageTables(docs.sparkSession)
+    rows = tables.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "__row").alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text", words)
+    stay = tables.keep(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.__row"), "simhash-stay")
+    return rows.join(stay.hint("shuffle_hash"), "__row", "left_semi").drop("__row").select(*docs.columns)
