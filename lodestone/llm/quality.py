@@ -9,9 +9,10 @@ letters are not. An n-gram is one long, 12 bits a symbol.
 * Scoring by sharded count joins: each input file asks once for each distinct n-gram that its texts hold. The requests
   meet the counts, sharded by code, order by order, and go back as a table of log probabilities for each file, which
   the tasks that read that file load. Texts are never shuffled for this, and no task holds the whole model.
-* Thresholds: quantiles of the trusted documents' perplexity in each language, on both sides, as junk such as endless
-  repetition can also be too easy to predict. A language with fewer than ``least_trusted`` trusted documents is judged
-  by the quantiles over all languages.
+* Thresholds: quantiles of trusted documents' perplexity in each language, on both sides, as junk such as endless
+  repetition can also be too easy to predict. One in FOLDS trusted documents, by a hash of its id, is left out of the
+  counts and used for the quantiles, for a model flatters the texts that it was made from. A language with fewer than
+  ``least_trusted`` of them is judged by the quantiles over all languages.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import StageTables, fresh_path
 ORDER, BITS = 4, 12
 BOS, EOS, SYMBOLS = 4095, 4094, 4096
 #: The share of trusted documents that a language's upper and lower thresholds leave outside.
-UPPER_TAIL, LOWER_TAIL, LEAST_TRUSTED = 0.004, 0.001, 50
+UPPER_TAIL, LOWER_TAIL, LEAST_TRUSTED, FOLDS = 0.004, 0.001, 250, 5
 #: Characters that one step works on, and distinct n-grams that a task holds before it passes them on.
 STEP_CHARS, HELD_GRAMS = 2_000_000, 1_000_000
 _START, _STOP = chr(0x10FFFF), chr(0x10FFFE)
@@ -221,9 +222,10 @@ def classify(
     if not docs.inputFiles():
         docs = tables.keep(docs, "quality-docs")
     ids = trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct()
-    model = Model(docs.select(id_col, text_col).join(ids.hint("shuffle_hash"), id_col, "left_semi"), text_col, tables, order)
+    held = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FOLDS)) == 0
+    model = Model(docs.select(id_col, text_col).join(ids.filter(~held).hint("shuffle_hash"), id_col, "left_semi"), text_col, tables, order)
     scored = tables.keep(perplexities(docs, model, text_col, tables), "quality-scored")
-    known = scored.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), "perplexity").join(ids.hint("shuffle_hash"), id_col, "left_semi")
+    known = scored.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), "perplexity").join(ids.filter(held).hint("shuffle_hash"), id_col, "left_semi")
     ends = F.percentile_approx("perplexity", F.array(F.lit(lower_tail), F.lit(1 - upper_tail)), F.lit(10_000))
     by = known.rollup("__lang").agg(ends.alias("ends"), F.count("*").alias("n"), F.grouping("__lang").alias("all"))
     by = tables.keep(by.filter((F.col("all") == 1) | (F.col("n") >= least_trusted)), "quality-thresholds")
