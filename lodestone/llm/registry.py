@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, hamming, quality, secrets, simhash, tiling, urlfilter, warc
+from . import bpe, chunkdedup, hamming, quality, secrets, shards, simhash, tiling, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_query,
+        "op2_shards": shards.op2_query,
         "op3_warc": warc.op3_query,
         "op4_hamming": hamming.op4_query,
         "op5_simhash": simhash.op5_query,
