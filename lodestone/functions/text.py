@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Java character classes of the scripts that are written without spaces.
@@ -20,13 +21,13 @@ LOOSE_MEDIALS = {1: 4, 5: 4, 3: 6, 7: 6}
 READINGS = {"全": "전", "京": "경", "愛": "애", "金": "금김", "鍾": "종", "煥": "환", "英": "영", "洙": "수"}
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC form; null stays null."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """Without combining marks U+0300-U+036F, which the index ignores; other scripts stay as they are."""
 
@@ -38,7 +39,7 @@ def fold_accents(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def jamo(text: pd.Series) -> pd.Series:
     """Hangul syllables as conjoining jamo; other characters unchanged."""
     return text.map(lambda t: None if t is None else to_jamo(t))
