@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 #: Java character classes of the scripts that are written without spaces.
 CJK = r"\p{IsHangul}\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-RUN = rf"[{CJK}]+|(?:(?![{CJK}])\p{{L}})+|\p{{N}}+"
+RUN = rf"[{CJK}]+|[\p{{L}}&&[^{CJK}]]+|\p{{N}}+"
 HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
 MEDIALS, FINALS = 21, 28
 #: Medial vowels that OCR confuses, by their number, and the one they count as.
@@ -39,6 +39,21 @@ def fold_accents(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@pandas_udf(T.StringType())
+def index_form(text: pd.Series) -> pd.Series:
+    """NFKC, lower case and without accents in one crossing to Python: the form that is indexed."""
+
+    def one(t):
+        if t is None:
+            return ""
+        if t.isascii():
+            return t.lower()
+        plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t).lower())
+        return unicodedata.normalize("NFC", "".join(c for c in plain if not "\u0300" <= c <= "\u036f"))
+
+    return text.map(one)
+
+
 @pandas_udf(T.StringType())
 def jamo(text: pd.Series) -> pd.Series:
     """Hangul syllables as conjoining jamo; other characters unchanged."""

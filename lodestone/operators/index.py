@@ -44,8 +44,8 @@ def chunks(files: DataFrame, id_col: str = "file_id", text_col: str = "text") ->
 
 def postings(chunk_table: DataFrame, fold: bool = True, with_readings: bool = False) -> DataFrame:
     """``(tok, chunk_id, file_id, pos)``. Reading tokens follow after a gap, so no phrase crosses into them."""
-    text = t.normalize(F.col("text"))
-    keyed = chunk_table.select("chunk_id", "file_id", (t.fold_accents(text) if fold else text).alias("__t"))
+    text = t.index_form(F.col("text")) if fold else t.normalize(F.col("text"))
+    keyed = chunk_table.select("chunk_id", "file_id", text.alias("__t"))
     out = keyed.select("chunk_id", "file_id", F.posexplode(t.tokens(F.col("__t"))).alias("pos", "tok"))
     if with_readings:
         read = keyed.select("chunk_id", "file_id", F.size(t.tokens(F.col("__t"))).alias("n"), F.posexplode(t.readings(F.col("__t"))).alias("k", "r"))

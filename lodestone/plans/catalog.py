@@ -16,7 +16,7 @@ from lodestone.functions import query as q
 from lodestone.functions import text as t
 from lodestone.operators import catalog as cat
 from lodestone.operators import fuzzy, index, mail, match, ocr, rank, snippet
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.streaming import watch
 
 #: A fixed clock for the newest-first queries: 2024-01-05T00:00:00Z in milliseconds.
@@ -54,7 +54,7 @@ PARTS = """parts AS (
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text", "lang", "source", "n_chars")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text"))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
