@@ -125,8 +125,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = StageTables(docs.sparkSession)
     docs = docs.drop(out_col)
     index = tables.keep(postings(docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", rules), "trigram-postings")
-    wanted = tables.keep(candidates(index, "__key", rules), "trigram-candidates")
-    joined = docs.join(wanted, docs[id_col].eqNullSafe(wanted["__key"]), "left").drop("__key").withColumnRenamed("rules", "__rules")
+    wanted = tables.keep(candidates(index, "__key", rules).withColumnRenamed("rules", "__rules"), "trigram-candidates")
+    joined = docs.join(wanted, docs[id_col].eqNullSafe(wanted["__key"]), "left").drop("__key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     parts = []
