@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: White space as Unicode defines it; U+001C to U+001F are not part of it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words longer than this are encoded without the cache, which holds so many words in each of its two generations.
-CACHED_CHARS, CACHED_WORDS = 48, 300_000
+CACHED_CHARS, CACHED_WORDS = 48, 200_000
 #: Text characters that go into one batch of results, about.
 SLICE_CHARS = 2_000_000
 
@@ -84,11 +84,13 @@ class TokenAutomaton:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + suffix] for s in symbols]
-        self._compile(vocab, model["merges"])
+        self.trie: dict | None = None
+        self.source = (vocab, model["merges"])  # compiled when the first word comes; a worker that decodes never does
         self.words, self.pieces_seen = Seen(self._chunk), Seen(self._word_ids)
 
-    def _compile(self, vocab: dict[str, int], merges: list) -> None:
-        n = len(self.labels)
+    def _compile(self) -> None:
+        vocab, merges = self.source
+        self.source, n = None, len(self.labels)
         self.left, self.right, self.made = [-1] * n, [-1] * n, [-1] * n
         self.removed: dict[int, int] = {}
         self.n = n
@@ -100,7 +102,7 @@ class TokenAutomaton:
             self.removed[u * n + v] = k
             self.left[w], self.right[w], self.made[w] = u, v, k
         self.arcs: dict[int, bool] = {}
-        self.trie: dict = {}
+        self.trie = {}
         spelled: dict[int, str] = {}
         for b in range(256):
             spelled[self.inner[b]], spelled[self.final[b]] = chr(b), chr(256 + b)
@@ -114,6 +116,8 @@ class TokenAutomaton:
 
     def follows(self, t: int, w: int) -> bool:
         """Whether the state after token ``t`` has an arc ``w``; answered from the table after the first time."""
+        if self.trie is None:
+            self._compile()
         key = t * self.n + w
         found = self.arcs.get(key)
         if found is None:
@@ -156,6 +160,8 @@ class TokenAutomaton:
         A prefix has one accepted path at most, so an end from which no path goes on is never tried again, and the work
         is bounded by the word's length times the longest token's.
         """
+        if self.trie is None:
+            self._compile()
         data = piece.encode()
         path = data[:-1].decode("latin-1") + chr(256 + data[-1])
         n, tokens, ends, waiting, dead = len(path), [], [0], [], set()
