@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,8 +94,8 @@ def share_ranks(spark: SparkSession, path: str, pattern: str):
 
 
 def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, list[int | None], list[list[int]]]]:
-    """``(split, ids of documents, their token ids with the end)`` for slices of about 1 MB."""
-    encoder, end = _encoder(shared)
+    """``(split, ids of documents, their token ids without the end)`` for slices of about 1 MB."""
+    encoder, _ = _encoder(shared)
     for batch in batches:
         n, at = batch.num_rows, 0
         each = max(1, min(1024, n * 1_000_000 // max(1, batch.column(2).nbytes)))
@@ -102,7 +103,7 @@ def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, l
             splits, docs, texts = (batch.column(k).slice(at, each).to_pylist() for k in range(3))
             bounds = [0, *(i for i in range(1, len(splits)) if splits[i] != splits[i - 1]), len(splits)]
             for a, b in zip(bounds, bounds[1:]):
-                yield splits[a], docs[a:b], [[*encoder.encode_ordinary(t or ""), end] for t in texts[a:b]]
+                yield splits[a], docs[a:b], [encoder.encode_ordinary(t or "") for t in texts[a:b]]
             at += each
 
 
@@ -132,7 +133,7 @@ def write_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
         for s, _, ids in _streams(batches, shared):
-            totals[s] = totals.get(s, 0) + sum(map(len, ids))
+            totals[s] = totals.get(s, 0) + sum(map(len, ids)) + len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["split", "n"])
 
     counted = tables.keep(source.mapInArrow(count, "split long, n long").groupBy("split").agg(F.sum("n").alias("n")), "shards-counts")
@@ -155,11 +156,8 @@ def write_shards(
             data = np.full(whole * length, PAD, np.uint16)
             used = min(len(rest), whole * length)
             data[:used] = rest[:used]
-            first, at, place = [], 0, 0
             ends = np.cumsum([n for _, n in owners])
-            for k in range(whole):
-                at = int(np.searchsorted(ends, k * length, side="right"))
-                first.append(owners[at][0])
+            first = [owners[k][0] for k in np.searchsorted(ends, np.arange(whole) * length, side="right").tolist()]
             slots = permute(np.arange(index, index + whole), total, key)
             rows = data.reshape(whole, length)
             place = int(np.searchsorted(ends, used, side="right"))
@@ -167,13 +165,18 @@ def write_shards(
             rest, index = rest[used:], index + whole
             return pa.RecordBatch.from_arrays([pa.array(slots // slots_per_shard), pa.array(slots), pa.array([NO_ID if d is None else d for d in first], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["shard", "slot", "doc_id", "ids"])
 
+        _, end = _encoder(shared)
         for s, docs_here, ids in _streams(batches, shared):
             if s != now:
                 if now is not None and (out := cut(True)):
                     yield out
                 now, index = s, placed.value[s]
-            owners += [(d, len(x)) for d, x in zip(docs_here, ids)]
-            rest = np.concatenate([rest, *(np.array(x, np.uint16) for x in ids)])
+            owners += [(d, len(x) + 1) for d, x in zip(docs_here, ids)]
+            fresh = array("H")
+            for x in ids:
+                fresh.extend(x)
+                fresh.append(end)
+            rest = np.concatenate([rest, np.frombuffer(fresh, np.uint16)])
             if out := cut(False):
                 yield out
         if now is not None and (out := cut(True)):
