@@ -73,9 +73,10 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         flips = F.when(F.col("x.s") < BITS % len(widths), masks(max(widths), radius)).otherwise(masks(min(widths), radius) if radius <= min(widths) else F.array().cast("array<int>"))
         probes = waiting.select("q", F.explode(segments(F.col("q"), widths)).alias("x")).select("q", "x.s", "x.v", F.explode(flips).alias("m"))
         probes = probes.select("q", "s", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-        near = probes.join(index, ["s", "v"]).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
+        # The planner takes exploded rows for as few as their source's, and would broadcast them: both sides shuffle.
+        near = probes.join(index.hint("merge"), ["s", "v"]).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
         pairs = near if found is None else near.unionByName(found.select("q", "code", "d"))
-        pairs = pairs.distinct().join(entries.select("code", size.alias("n")), "code")
+        pairs = pairs.distinct().join(entries.select("code", size.alias("n")).hint("merge"), "code")
         # Codes up to the rank k + 1 hold the answer: each has a member, and one member may be the query itself. Ties
         # at the last distance all stay, for their ids decide.
         tied = F.rank().over(Window.partitionBy("q").orderBy("d"))
