@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, quality, secrets, simhash, tiling
+from lodestone.llm import bpe, jaccard, quality, secrets, tiling
 from lodestone.llm.common import StageTables
 
 
@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.deduplicate(docs)
+    """One document of each component of pairs with a 5-word Jaccard similarity of 0.8 or more stays."""
+    return jaccard.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("bpe", token_ids),
 ]
 
-#: SQL cannot express SimHash components, tiling or the merges of a vocabulary.
+#: SQL cannot express near-duplicate components, tiling or the merges of a vocabulary.
 ORACLE_SQL = None
 
 
