@@ -240,8 +240,8 @@ def classify(
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
-    """The documents that are labelled as good."""
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    """The documents that are labelled as good and as not toxic; a missing label is neither."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
