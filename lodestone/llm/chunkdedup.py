@@ -2,8 +2,13 @@
 
 A gear hash rolls over each text's UTF-8 bytes; a chunk ends where its top bits are zero, at least MIN_BYTES and at
 most MAX_BYTES after the last end. Ends depend on the bytes just before them only, so an insertion shifts nothing
-beyond the next end or two. Chunks are compared by a 128-bit digest: the least document that holds a digest keeps it,
-and neighbouring chunks that other documents hold too join into runs. Runs of at least MIN_RUN bytes are reported.
+beyond the next end or two. Chunks are compared by a 128-bit digest: the least document that holds a digest keeps it.
+
+Chunks lose both ends of a passage, so two steps make a repeated passage whole wherever the cuts fall. Anchors are
+indexed beside the chunks: WINDOW bytes at each least rolling hash among ANCHOR_SPAN neighbours, so any WINDOW +
+ANCHOR_SPAN - 1 equal bytes share one. And each shared run grows byte by byte against its keeper's text, up to REACH
+bytes on both sides (chunks or anchors lie nearer than that), then back to the nearest end of a word, if there is one.
+Only then are runs joined, and those of at least MIN_RUN bytes reported.
 """
 
 from __future__ import annotations
@@ -13,13 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import StageTables
 
 MIN_BYTES, MAX_BYTES, CUT_BITS, WINDOW = 24, 160, 5, 32
 MIN_RUN = 120
+ANCHOR_SPAN, REACH = 64, 320
 STEP_BYTES = 1_000_000
 #: The gear of each byte: XXH64 of the byte with a fixed seed; byte 0 is neutral.
 GEAR = np.array([0] + [xxhash.xxh64_intdigest(bytes([b]), seed=7) for b in range(1, 256)], np.uint64)
@@ -75,13 +81,46 @@ def chunk_texts(texts: list[bytes]) -> Iterator[list[int]]:
         at += len(t) + WINDOW
 
 
+def anchors(data: np.ndarray) -> np.ndarray:
+    """Ends of the WINDOW bytes whose rolling hash is least in some ANCHOR_SPAN neighbouring places of one text."""
+    n = len(data) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h, width = GEAR[data], 1
+    while width < WINDOW:
+        more = h.copy()
+        more[width:] += h[:-width] << np.uint64(width)
+        h, width = more, width * 2
+    h = h[WINDOW - 1 :] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    span = min(ANCHOR_SPAN, n)
+    least, width = h, 1
+    while width < span:  # least[i] is the least of the places i to i + span - 1
+        step = min(width, span - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    most = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        most, width = np.maximum(most[:-step], most[step:]), width + step
+    chosen = most == h
+    chosen[1:] &= (h[1:] != h[:-1]) | (np.arange(1, n) % 32 == 0)  # a long row of one byte needs no anchor at each
+    return np.nonzero(chosen)[0] + WINDOW
+
+
+def _whole(t: bytes, at: int, step: int) -> int:
+    """The nearest place from ``at`` on, in steps, that is not inside a character."""
+    while 0 < at < len(t) and t[at] & 0xC0 == 0x80:
+        at += step
+    return at
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, doc, no, start, stop, d1, d2)``: the chunks of each text in bytes, and their digests.
+    """``(doc_id, doc, start, stop, d1, d2)``: the chunks and anchors of each text in bytes, and their digests.
 
     ``doc`` is a hash of id and text, so rows with equal id and text are one document. Null texts are empty.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("data"))
+    narrow = _narrow(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,51 +128,167 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             each = max(1, min(4096, n * STEP_BYTES // max(1, batch.column(2).nbytes)))
             while at < n:
                 texts = batch.column(2).slice(at, each).to_pylist()
-                rows, nos, starts, stops, digests = [], [], [], [], []
+                rows, starts, stops, digests = [], [], [], []
                 for i, (t, ends) in enumerate(zip(texts, chunk_texts(texts))):
-                    begins = [0, *ends[:-1]]
+                    more = anchors(np.frombuffer(t, np.uint8)).tolist()
+                    begins = [0, *ends[:-1]][: len(ends)] + [_whole(t, e - WINDOW, 1) for e in more]
+                    ends = ends + [_whole(t, e, -1) for e in more]
                     rows += [at + i] * len(ends)
-                    nos += range(len(ends))
-                    starts += begins[: len(ends)]
+                    starts += begins
                     stops += ends
                     digests += [xxhash.xxh3_128_digest(t[a:b]) for a, b in zip(begins, ends)]
                 pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(nos, pa.int32()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                    ["doc_id", "doc", "no", "start", "stop", "d1", "d2"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
+                    ["doc_id", "doc", "start", "stop", "d1", "d2"],
                 )
                 at += each
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, doc long, no int, start int, stop int, d1 long, d2 long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, doc long, start int, stop int, d1 long, d2 long")
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("data"))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, data, places): the REACH + 1 bytes before and after each place."""
+    for batch in batches:
+        docs, starts, stops, lefts, rights = [], [], [], [], []
+        for k in range(batch.num_rows):
+            t, doc = batch.column(1)[k].as_py(), batch.column(0)[k].as_py()
+            for place in batch.column(2)[k].as_py():
+                lo, hi = place["start"], place["stop"]
+                docs.append(doc)
+                starts.append(lo)
+                stops.append(hi)
+                lefts.append(t[max(0, lo - REACH - 1) : lo])
+                rights.append(t[hi : hi + REACH + 1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["doc", "start", "stop", "left", "right"]
+        )
+
+
+def growth(a: bytes, b: bytes) -> int:
+    """How many of the bytes that follow a run in two texts belong to it: equal ones, back to where a word ends in both.
+
+    Without such an end the bytes count up to the last whole character. Texts that end within REACH bytes end a word.
+    """
+    most, same = min(len(a), len(b), REACH), 0
+    while same < most and a[same] == b[same]:
+        same += 1
+    ends = lambda t, k: k == len(t) or t[k : k + 1].isspace()
+    for k in range(same, 0, -1):
+        if ends(a, k) and ends(b, k):
+            return k
+    while same and any(k < len(t) and t[k] & 0xC0 == 0x80 for t, k in ((a, same), (b, same))):
+        same -= 1
+    return 0 if any(a[k : k + 1].isspace() for k in range(same)) or ends(a, 0) and ends(b, 0) else same
+
+
+def growth_back(a: bytes, b: bytes) -> int:
+    """The same for the bytes before a run, from its start backwards."""
+    a, b = a[::-1], b[::-1]
+    most, same = min(len(a), len(b), REACH), 0
+    while same < most and a[same] == b[same]:
+        same += 1
+    begins = lambda t, k: k == len(t) or t[k : k + 1].isspace()
+    for k in range(same, 0, -1):
+        if begins(a, k) and begins(b, k):
+            return k
+    while same and a[same - 1] & 0xC0 == 0x80:
+        same -= 1
+    return 0 if any(a[k : k + 1].isspace() for k in range(same)) or begins(a, 0) and begins(b, 0) else same
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        la, ra, lb, rb = (batch.column(k).to_pylist() for k in (6, 7, 8, 9))
+        back = pa.array([growth_back(x, y) for x, y in zip(la, lb)], pa.int32())
+        on = pa.array([growth(x, y) for x, y in zip(ra, rb)], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], back, on], ["me", "keeper", "start", "stop", "kstart", "kstop", "back", "on"])
+
+
+def joined(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, without those under ``least`` bytes."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out if b - a >= least]
+
+
+def _run_batches(min_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, stops, flags = [], [], [], []
+            for k, spans in enumerate(batch.column(2).to_pylist()):
+                gone = joined([(x["start"], x["stop"]) for x in spans if not x["kept"]], min_run)
+                stay, cuts = [], iter([*gone, (1 << 31, 1 << 31)])
+                cut = next(cuts)
+                for a, b in joined([(x["start"], x["stop"]) for x in spans if x["kept"]], min_run):
+                    while cut[1] <= a:
+                        cut = next(cuts)
+                    while cut[0] < b:
+                        stay.append((a, cut[0]))
+                        a = cut[1]
+                        if a >= b:
+                            break
+                        cut = next(cuts)
+                    stay.append((a, b))
+                both = [(a, b, False) for a, b in gone] + [(a, b, True) for a, b in stay if b - a >= min_run]
+                rows += [k] * len(both)
+                starts += [x[0] for x in both]
+                stops += [x[1] for x in both]
+                flags += [x[2] for x in both]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(flags, pa.bool_())], ["doc_id", "doc", "start", "stop", "kept"])
+
+    return run
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """``(doc_id, doc, start, stop, kept)``: runs of at least ``min_run`` bytes whose chunks other documents hold too.
+    """``(doc_id, doc, start, stop, kept)``: runs of at least ``min_run`` bytes that other documents hold too.
 
-    A run ends where a chunk is not shared, or where the right to keep it changes: ``kept`` is true if this document is
-    the least that holds all of the run's chunks (by id, then by hash; a null id comes first). Offsets are bytes. Hot
-    digests are combined map-side; the join back is of plain exchanges. Other columns are not read.
+    ``kept`` is true if this document is the least that holds the run's parts (by id, then by hash; a null id comes
+    first). Bytes that a lesser document keeps are in no kept run. Offsets are bytes. Hot digests are combined map-side;
+    the joins back are of plain exchanges. Only the bytes near a run's ends are joined, not whole texts. Other columns
+    are not read.
     """
     tables = StageTables(docs.sparkSession)
     table = tables.keep(chunks(docs, id_col, text_col), "cdc-chunks")
     me = F.struct("doc_id", "doc")
-    held = table.groupBy("d1", "d2").agg(F.min(me).alias("first"), F.max(me).alias("final"))
-    shared = tables.keep(held.filter(F.col("first.doc") != F.col("final.doc")).select("d1", "d2", F.col("first.doc").alias("keeper")), "cdc-shared")
-    hits = table.join(shared, ["d1", "d2"]).select("doc_id", "doc", "no", "start", "stop", (F.col("keeper") == F.col("doc")).alias("kept")).distinct()
-    by_doc = hits.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("no", "start", "stop", "kept"))).alias("hits"))
-    run = "struct<no:int,start:int,stop:int,kept:boolean>"
-
-    def step(acc, h):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["no"] + 1 == h["no"]) & (F.try_element_at(acc, F.lit(-1))["kept"] == h["kept"])
-        grown = F.struct(h["no"].alias("no"), last["start"].alias("start"), h["stop"].alias("stop"), h["kept"].alias("kept"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(h)))
-
-    runs = by_doc.select("doc_id", "doc", F.explode(F.aggregate("hits", F.array().cast(f"array<{run}>"), step)).alias("r"))
-    out = runs.select("doc_id", "doc", "r.start", "r.stop", "r.kept")
-    return out.filter(F.col("stop") - F.col("start") >= min_run)
+    held = table.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "doc", "start")).alias("first"), F.max(me).alias("final"))
+    shared = tables.keep(held.filter(F.col("first.doc") != F.col("final.doc")).select("d1", "d2", "first"), "cdc-shared")
+    hits = table.join(shared, ["d1", "d2"]).filter(F.col("first.doc") != F.col("doc"))
+    hits = hits.select(me.alias("me"), F.struct("first.doc_id", "first.doc").alias("keeper"), "start", "stop", (F.col("start") - F.col("first.start")).alias("shift"))
+    line = Window.partitionBy("me", "keeper", "shift").orderBy("start", "stop")
+    fresh = F.coalesce(F.col("start") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    hits = hits.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hits.groupBy("me", "keeper", "shift", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    runs = runs.select("me", "keeper", "start", "stop", (F.col("start") - F.col("shift")).alias("kstart"), (F.col("stop") - F.col("shift")).alias("kstop"))
+    runs = tables.keep(runs, "cdc-runs")
+    tables.drop(table, shared)
+    places = runs.select(F.col("me.doc").alias("doc"), "start", "stop").unionByName(runs.select(F.col("keeper.doc").alias("doc"), F.col("kstart").alias("start"), F.col("kstop").alias("stop"))).distinct()
+    asked = places.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
+    near = _narrow(docs, id_col, text_col).join(asked, "doc").select("doc", "data", "places").mapInArrow(_contexts, "doc long, start int, stop int, left binary, right binary")
+    near = tables.keep(near.dropDuplicates(["doc", "start", "stop"]), "cdc-near")
+    own = near.select(F.col("doc").alias("__a"), "start", "stop", F.col("left").alias("la"), F.col("right").alias("ra"))
+    other = near.select(F.col("doc").alias("__b"), F.col("start").alias("kstart"), F.col("stop").alias("kstop"), F.col("left").alias("lb"), F.col("right").alias("rb"))
+    ends = runs.withColumns({"__a": F.col("me.doc"), "__b": F.col("keeper.doc")}).join(own, ["__a", "start", "stop"]).join(other, ["__b", "kstart", "kstop"])
+    kind = runs.schema["me"].dataType.simpleString()
+    grown = ends.select("me", "keeper", "start", "stop", "kstart", "kstop", "la", "ra", "lb", "rb").mapInArrow(_grown, f"me {kind}, keeper {kind}, start int, stop int, kstart int, kstop int, back int, on int")
+    grown = tables.keep(grown, "cdc-grown")
+    gone = grown.select("me.doc_id", "me.doc", (F.col("start") - F.col("back")).alias("start"), (F.col("stop") + F.col("on")).alias("stop"), F.lit(False).alias("kept"))
+    stay = grown.select("keeper.doc_id", "keeper.doc", (F.col("kstart") - F.col("back")).alias("start"), (F.col("kstop") + F.col("on")).alias("stop"), F.lit(True).alias("kept")).distinct()
+    spans = gone.unionByName(stay).groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "stop", "kept")).alias("spans"))
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    return spans.select("doc_id", "doc", "spans").mapInArrow(_run_batches(min_run), f"doc_id {id_kind}, doc long, start int, stop int, kept boolean")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
