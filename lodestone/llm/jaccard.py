@@ -108,10 +108,17 @@ def _signatures(common: np.ndarray, rank: np.ndarray):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, ta, tb) whose whole sets are similar enough; texts are smaller to move than their hashes."""
     known = _Hashes()
-    for part, _, texts in _slices(batches, 1):
-        yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(split(t), known) for t in texts])], ["node", "grams"])
+    for part, at, left in _slices(batches, 2):
+        right = part.column(3).to_pylist()
+        keep = []
+        for x, y in zip(left, right):
+            x, y = shingles(split(x), known), shingles(split(y), known)
+            keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
 
 def possible(n, at, m, there):
@@ -203,12 +210,11 @@ def links(docs: DataFrame, reps: DataFrame, text_col: str, tables: StageTables)
     seen = posts.withColumns({"prev": F.lag(F.struct("node", "n", "at")).over(by), "later": F.lead("node").over(by)})
     shared = tables.keep(seen.filter("prev IS NOT NULL OR later IS NOT NULL").drop("later"), "jaccard-shared")
     texts = docs.select(F.col("__row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-    sets = tables.keep(wanted.mapInArrow(_sets, "node long, grams array<long>"), "jaccard-sets")
+    texts = tables.keep(texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "jaccard-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        return both.filter(9 * F.size(F.array_intersect("ga", "gb")) >= 4 * (F.size("ga") + F.size("gb"))).select("a", "b")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
     p = F.col("prev")
     near = shared.filter(p.isNotNull() & possible(p["n"], p["at"], F.col("n"), F.col("at")))
@@ -222,7 +228,7 @@ def links(docs: DataFrame, reps: DataFrame, text_col: str, tables: StageTables)
     edges = edges.unionByName(more)
     if not more.isEmpty():
         labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
-    tables.drop(shared, sets)
+    tables.drop(shared, texts, near)
     return edges, labels
 
 
