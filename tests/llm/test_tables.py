@@ -77,23 +77,6 @@ def test_chunks_resist_insertions():
     assert both[0] == next(chunkdedup.chunk_texts([text])) and both[1] == []
 
 
-def test_repeats_and_removal(spark):
-    random.seed(8)
-    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(2, 9)))
-    passage = " ".join(word() for _ in range(60))
-    prose = lambda n: " ".join(word() for _ in range(n))
-    texts = [prose(80) + " " + passage + " " + prose(80), "é " + prose(30) + " " + passage, prose(200), None, "", prose(200)]
-    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, start int")
-    runs = chunkdedup.repeats(df).collect()
-    assert {(r.doc_id, r.kept) for r in runs} == {(0, True), (1, False)}
-    for r in runs:
-        assert texts[r.doc_id].encode()[r.start : r.stop].decode() in passage + " "
-        assert r.stop - r.start > len(passage) * 0.4
-    left = {r.doc_id: r.text for r in chunkdedup.without_repeats(df).collect()}
-    assert left[0] == texts[0] and left[2] == texts[2] and left[3] is None and len(left[1]) < len(texts[1])
-    assert chunkdedup.repeats(df.limit(0)).count() == 0
-
-
 def test_permutation_is_keyed_and_exact():
     for n in (1, 2, 7, 1000, 4097):
         p = shards.permute(np.arange(n), n, 9)
