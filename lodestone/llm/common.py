@@ -34,6 +34,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bare_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is one file scan with projections and filters only, so that a row's input split is known.
+
+    After an exchange, a union, a join or a cached step the name of a row's file is gone, or rows of one split lie in
+    several tasks.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" or str(node.nodeName()).startswith("Relation")
+
+
 class StageTables:
     """Writes intermediate results to the shared folder, so that a lost executor costs no lineage."""
 

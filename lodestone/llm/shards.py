@@ -3,8 +3,9 @@
 Texts are tokenized and packed, end of text after each, into sequences of ``length`` ids. Sequences are numbered by
 input split (two passes: the first only counts, so that neither texts nor ids are shuffled for the numbering). A keyed
 Feistel permutation of [0, n) with cycle-walking then gives every sequence its global slot; no order is stored or
-sorted globally, and anybody who has the key and n can compute it, or invert it. Ranges of slots are shards. A record
-has a fixed stride, so a reader resumes at slot s by a seek to ``(s % slots_per_shard) * stride``.
+sorted globally, and anybody who has the key and n can compute it, or invert it. Ranges of slots are shards, and ranges
+of shards are the partitions that write them. A record has a fixed stride, so a reader resumes at slot s by a seek to
+``(s % slots_per_shard) * stride``.
 
 Record: first document's id (int64) and ``length`` ids (uint16), little-endian, filled up with PAD.
 """
@@ -12,21 +13,34 @@ Record: first document's id (int64) and ``length`` ids (uint16), little-endian,
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.dataset as pads
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import StageTables, fresh_path
+from .common import StageTables, bare_scan, fresh_path
 from .warc import _filesystem
 
 LENGTH, SLOTS_PER_SHARD, KEY, ROUNDS = 512, 16384, 0x5EED, 6
 PAD = 0xFFFF
 NO_ID = -(1 << 63)
+#: Partitions that write shards at most; beyond it a partition writes several shards, one after the other.
+MOST_PARTS = 100_000
+#: Offsets of input splits lie in so many files; a task reads the files of its own splits.
+BUCKETS = 256
+#: Pieces of text longer than this are encoded without the cache; the cache holds so many in each of two generations.
+CACHED_CHARS, CACHED_PIECES = 48, 400_000
+#: The ranges that Unicode 16 has as letters and as numbers beyond the Unicode 15.1 of this Python.
+LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -67,22 +81,80 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-_ENCODERS: dict = {}
+def _ranges(given: str) -> str:
+    """Ranges of code points in hexadecimal as the inside of a character class."""
+    return "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, _, b in (x.partition("-") for x in given.split()))
+
+
+def _splitter(letters: str, numbers: str, space: str, other: str) -> re.Pattern:
+    """The pre-splitting of byte-level BPE: contractions, and runs of letters, numbers or others with a space before."""
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?{other}+|{space}+(?!{space.replace('[', '[^', 1)})|{space}+")
+
+
+class PieceEncoder:
+    """Ids of whole texts as little-endian unsigned 16-bit integers: split into pieces, then a table of the pieces seen
+    of late, then BPE for the others.
+
+    ``re`` knows letters and numbers of Unicode 15.1, but numbers that are no decimal digits count as letters there.
+    Texts with such a character, or with one that is newer, go through a splitter that lists them. Splitting never
+    recurses, so a long row of blanks is a piece like any other.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.end = array("H", [max(ranks.values()) + 1]).tobytes()
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.ascii = _splitter("[A-Za-z]", "[0-9]", "[\t-\r ]", "[^A-Za-z0-9\t-\r ]")
+        self.plain = _splitter(r"[^\W\d_]", r"\d", f"[{SPACE}]", rf"(?:[^\w{SPACE}]|_)")
+        self.odd = self.whole = None
+
+    def _compile(self) -> None:
+        odd = [i for i in range(0x110000) if unicodedata.category(chr(i)) in ("Nl", "No")]
+        turns = [i for k, i in enumerate(odd) if not k or odd[k - 1] != i - 1], [i for k, i in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != i + 1]
+        numbers, letters, newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(*turns)), _ranges(LETTERS_16), _ranges(NUMBERS_16)
+        self.odd = re.compile(f"[{numbers}{letters}{newer}]")
+        self.whole = _splitter(rf"(?:[^\W\d_{numbers}]|[{letters}])", rf"[\d{numbers}{newer}]", f"[{SPACE}]", rf"(?:[^\w{SPACE}{letters}{newer}]|_)")
+
+    def pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii.findall(text)
+        if self.odd is None:
+            self._compile()
+        return (self.whole if self.odd.search(text) else self.plain).findall(text)
+
+    def _made(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = array("H", self.merge(piece.encode("utf-8", "replace"))).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self.now) >= CACHED_PIECES:
+                self.now, self.old = {}, self.now
+            self.now[piece] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        """All ids of a text, without an end."""
+        pieces = self.pieces(text) if text else []
+        get, made = self.now.get, self._made
+        return b"".join([get(p) or made(p) for p in pieces])
 
 
-def _encoder(shared):
-    """The tokenizer of a broadcast vocabulary, once for each Python worker, and the id after its last."""
-    import tiktoken
+_ENCODERS: dict = {}
+
 
+def _encoder(shared) -> PieceEncoder:
+    """The encoder of a broadcast vocabulary, once for each Python worker."""
     key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        pattern, ranks = shared.value
-        _ENCODERS[key] = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[key], max(shared.value[1].values()) + 1
+        _ENCODERS[key] = PieceEncoder(shared.value)
+    return _ENCODERS[key]
 
 
-def share_ranks(spark: SparkSession, path: str, pattern: str):
+def share_ranks(spark: SparkSession, path: str):
     """Broadcast a file of ranks (base64 and number on each line); its size is bounded by the vocabulary."""
     import base64
 
@@ -90,12 +162,12 @@ def share_ranks(spark: SparkSession, path: str, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if max(ranks.values()) + 1 >= PAD:
         raise ValueError("ids must fit in 16 bits")
-    return spark.sparkContext.broadcast((pattern, ranks))
+    return spark.sparkContext.broadcast(ranks)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, list[int | None], list[list[int]]]]:
+def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
     """``(split, ids of documents, their token ids without the end)`` for slices of about 1 MB."""
-    encoder, _ = _encoder(shared)
+    encode = _encoder(shared).encode
     for batch in batches:
         n, at = batch.num_rows, 0
         each = max(1, min(1024, n * 1_000_000 // max(1, batch.column(2).nbytes)))
@@ -103,10 +175,36 @@ def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, l
             splits, docs, texts = (batch.column(k).slice(at, each).to_pylist() for k in range(3))
             bounds = [0, *(i for i in range(1, len(splits)) if splits[i] != splits[i - 1]), len(splits)]
             for a, b in zip(bounds, bounds[1:]):
-                yield splits[a], docs[a:b], [encoder.encode_ordinary(t or "") for t in texts[a:b]]
+                yield splits[a], docs[a:b], [encode(t) for t in texts[a:b]]
             at += each
 
 
+def _offsets(counted: DataFrame, tables: StageTables) -> tuple[str, int]:
+    """The folder of ``(split, at)`` by bucket, where ``at`` is the number of sequences in the splits before, and the
+    number of all sequences. The driver sees a row for each bucket."""
+    keyed = counted.withColumn("bucket", F.pmod("split", F.lit(BUCKETS)).cast("int"))
+    sums = sorted(map(tuple, keyed.groupBy("bucket").agg(F.sum("n")).collect()))
+    base, total = {}, 0
+    for bucket, n in sums:
+        base[bucket], total = total, total + n
+    if not total:
+        return "", 0
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.get(F.array(*[F.lit(base.get(k, 0)).cast("long") for k in range(BUCKETS)]), F.col("bucket"))
+    folder = fresh_path(tables.spark, "shards-offsets")
+    keyed.select("split", (start + before).alias("at"), "bucket").write.partitionBy("bucket").parquet(folder)
+    return folder, total
+
+
+def _offset(folder: str, split: int, known: dict[int, dict[int, int]]) -> int:
+    bucket = split % BUCKETS
+    if bucket not in known:
+        system, root = _filesystem(folder)
+        table = pads.dataset(f"{root}/bucket={bucket}", filesystem=system, format="parquet").to_table()
+        known[bucket] = dict(zip(table["split"].to_pylist(), table["at"].to_pylist()))
+    return known[bucket][split]
+
+
 def write_shards(
     docs: DataFrame,
     shared,
@@ -119,13 +217,15 @@ def write_shards(
 ) -> DataFrame:
     """Writes all shards and returns the manifest ``(shard, path, first_slot, n_slots, stride, sha256)``.
 
-    Null and empty texts give their end only; rows may repeat. Both passes must see the same input splits; if a file
-    changed in between, the second pass raises. A task writes shards under names of its own and the manifest is
-    committed by Spark, so a lost executor's files are never read. An empty table gives no shard.
+    Null and empty texts give their end only; rows may repeat, and long texts are worked on one at a time, whatever is
+    in them. Other columns are not read. Both passes must see the same input splits, so anything but a plain file scan is
+    written first; if a file changed in between, the second pass raises. A task writes shards under names of its own and
+    the manifest is committed by Spark, so a lost executor's files are never read. An empty table gives no shard.
     """
     spark = docs.sparkSession
     tables = StageTables(spark)
-    if not docs.inputFiles():
+    docs = docs.select(id_col, text_col)
+    if not bare_scan(docs):
         docs = tables.keep(docs, "shards-docs")
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.input_file_block_length())
     source = docs.select(split.alias("split"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -133,20 +233,16 @@ def write_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
         for s, _, ids in _streams(batches, shared):
-            totals[s] = totals.get(s, 0) + sum(map(len, ids)) + len(ids)
+            totals[s] = totals.get(s, 0) + sum(map(len, ids)) // 2 + len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["split", "n"])
 
     counted = tables.keep(source.mapInArrow(count, "split long, n long").groupBy("split").agg(F.sum("n").alias("n")), "shards-counts")
-    offsets, total = {}, 0
-    for s, n in sorted(map(tuple, counted.collect())):  # a row for each input split
-        offsets[s] = total
-        total += -(-n // length)
+    offsets, total = _offsets(counted.select("split", F.ceil(F.col("n") / F.lit(length)).alias("n")), tables)
     if not total:
         return spark.createDataFrame([], "shard long, path string, first_slot long, n_slots long, stride long, sha256 string")
-    placed = spark.sparkContext.broadcast(offsets)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, rest, owners = None, 0, np.zeros(0, np.uint16), []
+        now, index, rest, owners, known = None, 0, np.zeros(0, np.uint16), [], {}
 
         def cut(final: bool) -> pa.RecordBatch | None:
             nonlocal index, rest, owners
@@ -165,18 +261,14 @@ def write_shards(
             rest, index = rest[used:], index + whole
             return pa.RecordBatch.from_arrays([pa.array(slots // slots_per_shard), pa.array(slots), pa.array([NO_ID if d is None else d for d in first], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["shard", "slot", "doc_id", "ids"])
 
-        _, end = _encoder(shared)
+        end = _encoder(shared).end
         for s, docs_here, ids in _streams(batches, shared):
             if s != now:
                 if now is not None and (out := cut(True)):
                     yield out
-                now, index = s, placed.value[s]
-            owners += [(d, len(x) + 1) for d, x in zip(docs_here, ids)]
-            fresh = array("H")
-            for x in ids:
-                fresh.extend(x)
-                fresh.append(end)
-            rest = np.concatenate([rest, np.frombuffer(fresh, np.uint16)])
+                now, index = s, _offset(offsets, s, known)
+            owners += [(d, len(x) // 2 + 1) for d, x in zip(docs_here, ids)]
+            rest = np.concatenate([rest, np.frombuffer(end.join([*ids, b""]), "<u2")])
             if out := cut(False):
                 yield out
         if now is not None and (out := cut(True)):
@@ -211,7 +303,10 @@ def write_shards(
             yield close()
 
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
-    dealt = source.mapInArrow(sequences, "shard long, slot long, doc_id long, ids binary").repartition("shard").sortWithinPartitions("slot")
+    shards = -(-total // slots_per_shard)
+    parts = min(shards, MOST_PARTS)
+    dealt = source.mapInArrow(sequences, "shard long, slot long, doc_id long, ids binary")
+    dealt = dealt.repartitionById(parts, F.floor(F.col("shard") * F.lit(parts) / F.lit(shards)).cast("int")).sortWithinPartitions("slot")
     schema = "shard long, path string, first_slot long, n_slots long, stride long, sha256 string"
     dealt.mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(schema).parquet(f"{folder}/manifest")
@@ -251,14 +346,14 @@ def read_shards(manifest: DataFrame, folder: str, start: int = 0) -> DataFrame:
                     yield pack(rows)
 
     wanted = manifest.filter(F.col("first_slot") + F.col("n_slots") > start).select("shard", "path", "first_slot", "stride")
-    return wanted.repartition(max(1, min(1000, wanted.count()))).mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, ids binary")
+    return wanted.repartition(max(1, wanted.count())).mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, ids binary")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
     """Every slot as read back: its shard, place, first document, number of ids and their digest."""
     import public_tokenizers
 
-    shared = share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    shared = share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fresh_path(spark, "shards")
     back = read_shards(write_shards(docs, shared, folder), folder)
     return back.select("slot", "shard", "byte_offset", "doc_id", F.floor(F.octet_length("ids") / 2).cast("int").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))

@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chunkdedup, hamming, shards, urlfilter, warc
-from lodestone.llm.common import StageTables, fresh_path
+from lodestone.llm import chunkdedup, hamming, urlfilter, warc
+from lodestone.llm.common import StageTables
 
 URLS = [None, "", "no scheme", "http://NET/", "https://a.net", "http://x.example.net/en/q?a#b", "http://example.com/de/", "http://notexample.com/de/", "x://org/fr/", "http://a.org/fr", "http://e.com/.net/", "http://a.net:80/", "http://😀.net/é"]
 
@@ -77,29 +77,6 @@ def test_chunks_resist_insertions():
     assert both[0] == next(chunkdedup.chunk_texts([text])) and both[1] == []
 
 
-def test_permutation_is_keyed_and_exact():
-    for n in (1, 2, 7, 1000, 4097):
-        p = shards.permute(np.arange(n), n, 9)
-        assert sorted(p.tolist()) == list(range(n)) and (shards.permute(p, n, 9, inverse=True) == np.arange(n)).all()
-    assert (shards.permute(np.arange(1000), 1000, 1) != shards.permute(np.arange(1000), 1000, 2)).any()
-
-
-def test_shards_round_trip(spark):
-    import public_tokenizers as P
-
-    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 7), 1) for i in range(50)] + [(None, None, 1), (50, "", 1)], "doc_id long, text string, slot int")
-    shared, folder = shards.share_ranks(spark, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), fresh_path(spark, "shards")
-    manifest = shards.write_shards(docs, shared, folder, length=16, slots_per_shard=8)
-    back = shards.read_shards(manifest, folder).collect()
-    assert sorted(r.slot for r in back) == list(range(len(back)))
-    encoder, end = shards._encoder(shared)
-    want = sorted([x for r in docs.collect() for x in [*encoder.encode_ordinary(r.text or ""), end]])
-    assert sorted(x for r in back for x in np.frombuffer(r.ids, "<u2").tolist()) == want
-    late = shards.read_shards(manifest, folder, start=10).collect()
-    assert sorted(r.slot for r in late) == list(range(10, len(back)))
-    assert {r.slot: bytes(r.ids) for r in late}.items() <= {r.slot: bytes(r.ids) for r in back}.items()
-
-
 def test_hamming_search(spark):
     rng = np.random.default_rng(1)
     values = rng.integers(-(1 << 63), 1 << 63, 300)
