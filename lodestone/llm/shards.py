@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -35,11 +34,8 @@ NO_ID = -(1 << 63)
 MOST_PARTS = 100_000
 #: Offsets of input splits lie in so many files; a task reads the files of its own splits.
 BUCKETS = 256
-#: Pieces of text longer than this are encoded without the cache; the cache holds so many in each of two generations.
-CACHED_CHARS, CACHED_PIECES = 48, 400_000
-#: The ranges that Unicode 16 has as letters and as numbers beyond the Unicode 15.1 of this Python.
-LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
-NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+#: Fixed value: the pre-splitting of byte-level BPE, but that a row of white space is one piece (see TextEncoder).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -81,76 +77,39 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def _ranges(given: str) -> str:
-    """Ranges of code points in hexadecimal as the inside of a character class."""
-    return "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, _, b in (x.partition("-") for x in given.split()))
+class TextEncoder:
+    """Ids of whole texts, without an end, as the library's byte-level BPE gives them.
 
-
-def _splitter(letters: str, numbers: str, space: str, other: str) -> re.Pattern:
-    """The pre-splitting of byte-level BPE: contractions, and runs of letters, numbers or others with a space before."""
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{numbers}+| ?{other}+|{space}+(?!{space.replace('[', '[^', 1)})|{space}+")
-
-
-class PieceEncoder:
-    """Ids of whole texts as little-endian unsigned 16-bit integers: split into pieces, then a table of the pieces seen
-    of late, then BPE for the others.
-
-    ``re`` knows letters and numbers of Unicode 15.1, but numbers that are no decimal digits count as letters there.
-    Texts with such a character, or with one that is newer, go through a splitter that lists them. Splitting never
-    recurses, so a long row of blanks is a piece like any other.
+    The usual pattern looks ahead, to leave the last of several white-space characters to the word that follows. That
+    costs a third of the time, and a long row of blanks overflows the stack. Here texts are cut before that character,
+    if there are such places at all, and the pattern needs no look-ahead.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.end = array("H", [max(ranks.values()) + 1]).tobytes()
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.ascii = _splitter("[A-Za-z]", "[0-9]", "[\t-\r ]", "[^A-Za-z0-9\t-\r ]")
-        self.plain = _splitter(r"[^\W\d_]", r"\d", f"[{SPACE}]", rf"(?:[^\w{SPACE}]|_)")
-        self.odd = self.whole = None
-
-    def _compile(self) -> None:
-        odd = [i for i in range(0x110000) if unicodedata.category(chr(i)) in ("Nl", "No")]
-        turns = [i for k, i in enumerate(odd) if not k or odd[k - 1] != i - 1], [i for k, i in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != i + 1]
-        numbers, letters, newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(*turns)), _ranges(LETTERS_16), _ranges(NUMBERS_16)
-        self.odd = re.compile(f"[{numbers}{letters}{newer}]")
-        self.whole = _splitter(rf"(?:[^\W\d_{numbers}]|[{letters}])", rf"[\d{numbers}{newer}]", f"[{SPACE}]", rf"(?:[^\w{SPACE}{letters}{newer}]|_)")
-
-    def pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.ascii.findall(text)
-        if self.odd is None:
-            self._compile()
-        return (self.whole if self.odd.search(text) else self.plain).findall(text)
-
-    def _made(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            found = array("H", self.merge(piece.encode("utf-8", "replace"))).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self.now) >= CACHED_PIECES:
-                self.now, self.old = {}, self.now
-            self.now[piece] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        """All ids of a text, without an end."""
-        pieces = self.pieces(text) if text else []
-        get, made = self.now.get, self._made
-        return b"".join([get(p) or made(p) for p in pieces])
+        self.run = tiktoken.Encoding("shards", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.end = max(ranks.values()) + 1
+        self.cut = re.compile(f"(?<=[{SPACE}])(?=[{SPACE}][^{SPACE}])")
+
+    def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if text.isascii() and not any(x in text for x in ("  ", "\n", "\r", "\t", "\v", "\f")):
+            return self.run(text)
+        parts = self.cut.split(text)
+        return self.run(text) if len(parts) == 1 else [x for p in parts for x in self.run(p)]
 
 
 _ENCODERS: dict = {}
 
 
-def _encoder(shared) -> PieceEncoder:
+def _encoder(shared) -> TextEncoder:
     """The encoder of a broadcast vocabulary, once for each Python worker."""
     key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(shared.value)
+        _ENCODERS[key] = TextEncoder(shared.value)
     return _ENCODERS[key]
 
 
@@ -165,7 +124,7 @@ def share_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(ranks)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
+def _streams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[int, list[int | None], list[list[int]]]]:
     """``(split, ids of documents, their token ids without the end)`` for slices of about 1 MB."""
     encode = _encoder(shared).encode
     for batch in batches:
@@ -233,7 +192,7 @@ def write_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
         for s, _, ids in _streams(batches, shared):
-            totals[s] = totals.get(s, 0) + sum(map(len, ids)) // 2 + len(ids)
+            totals[s] = totals.get(s, 0) + sum(map(len, ids)) + len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["split", "n"])
 
     counted = tables.keep(source.mapInArrow(count, "split long, n long").groupBy("split").agg(F.sum("n").alias("n")), "shards-counts")
@@ -267,8 +226,12 @@ def write_shards(
                 if now is not None and (out := cut(True)):
                     yield out
                 now, index = s, _offset(offsets, s, known)
-            owners += [(d, len(x) // 2 + 1) for d, x in zip(docs_here, ids)]
-            rest = np.concatenate([rest, np.frombuffer(end.join([*ids, b""]), "<u2")])
+            owners += [(d, len(x) + 1) for d, x in zip(docs_here, ids)]
+            fresh = array("H")
+            for x in ids:
+                fresh.extend(x)
+                fresh.append(end)
+            rest = np.concatenate([rest, np.frombuffer(fresh, np.uint16)])
             if out := cut(False):
                 yield out
         if now is not None and (out := cut(True)):
