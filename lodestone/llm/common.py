@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,11 @@ class StageTables:
         for df in frames:
             delete_path(self.spark, df._stage_path)
 
+    def rest(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver's heap fills up."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def components(spark: SparkSession, edges: DataFrame, tables: StageTables) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(node, label)`` for each node, label = least node.

@@ -1,20 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity over word shingles: the pipeline's stage.
+"""The exact check of SimHash near-duplicates over texts, and what completes it.
 
-A link is a pair of texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8 or more. None is missed:
+A link is a pair of texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of 0.8 or more. The pivot
+tables of ``simhash`` propose pairs; fingerprints of such texts mostly lie further apart, so a prefix filter proposes
+the others, and none is missed:
 
 1. Texts that are equal up to case and white space collapse; only the least row of each goes on.
 2. Prefix filter: with any one order of all shingles, two sets that are similar enough share a shingle among the first
-   n - ceil(0.8 n) + 1 of each. The order is by hash, but shingles that more than COMMON prefixes hold come last, the
-   commonest at the very end. The order decides how many candidates there are, never which links are found.
-3. In the bucket of a shingle, sorted by size, neighbours are verified first, which joins a large group of copies by a
-   line for each member and bucket. Then every pair of a bucket that isn't yet in one component is verified, if sizes
-   and places in the order leave 0.8 possible.
+   n - ceil(0.8 n) + 1 of each. The order is by hash, but shingles that more than COMMON prefixes of one task hold at
+   least come last, the commonest at the very end. The order decides how many candidates there are, never which links
+   are found.
+3. Pairs of the pivot tables, and neighbours by size in the bucket of a shingle, are verified first, which joins a large
+   group of copies by a line for each member and bucket. Then every pair of a bucket that isn't yet in one component is
+   verified, if sizes and places in the order leave 0.8 possible.
 4. Verification counts the common shingles of both whole sets; 9 common >= 4 (n + m) is similarity >= 0.8 in integers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import StageTables, components
+from .common import StageTables, bare_scan, components
 
-WORDS, COMMON = 5, 64
-#: Pairs that a step of the pairing holds, and words whose hashes a task remembers.
-STEP_PAIRS, KNOWN_WORDS = 1 << 20, 1 << 19
+WORDS, COMMON = 5, 4
+#: Pairs that a step of the pairing holds, words whose hashes a task remembers, and shingles that it counts at once.
+STEP_PAIRS, KNOWN_WORDS, HELD_GRAMS = 1 << 20, 1 << 19, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 class _Hashes(dict):
@@ -81,28 +85,52 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(at, 256), at, batch.column(column).slice(at, 256).to_pylist()
 
 
-def _prefix_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, none = _Hashes(), np.zeros(0, np.int64)
-    for _, _, texts in _slices(batches, 0):
-        firsts = [prefix(shingles(split(t), known), none, none) for t in texts]
-        grams, counts = np.unique(np.concatenate(firsts), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts.astype(np.int64))], ["gram", "c"])
+def _prefix_grams(least: int):
+    """The shingles in more than ``least`` prefixes of a task, or of HELD_GRAMS shingles of it, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none, held, size = _Hashes(), np.zeros(0, np.int64), [], 0
+
+        def flush() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts > least
+            return pa.RecordBatch.from_arrays([pa.array(grams[often]), pa.array(counts[often].astype(np.int64))], ["gram", "c"])
+
+        for _, _, texts in _slices(batches, 0):
+            held += [prefix(shingles(split(t), known), none, none) for t in texts]
+            size += sum(map(len, held[-len(texts) :]))
+            if size > HELD_GRAMS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def fingerprint(grams: np.ndarray) -> int:
+    """The SimHash of a set of hashed shingles: a bit is set if more than half of them have it."""
+    octets, ones = grams.view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    for k in range(8):
+        ones[8 * k : 8 * k + 8] = np.bincount(octets[:, k], minlength=256) @ _BITS
+    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view("<i8")[0])
 
 
 def _signatures(common: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for part, _, texts in _slices(batches, 1):
-            sizes, firsts, digests = [], [], []
+            sizes, firsts, digests, fps = [], [], [], []
             for t in texts:
                 words = split(t)
                 digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
                 grams = shingles(words, known)
                 sizes.append(len(grams))
+                fps.append(fingerprint(grams))
                 firsts.append(prefix(grams, common, rank))
             pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(sizes, pa.int32()), _lists(firsts)], ["key", "d1", "d2", "n", "first"]
+                [part.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), _lists(firsts)], ["key", "d1", "d2", "n", "fp", "first"]
             )
 
     return run
@@ -175,13 +203,12 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from paired(rest)
 
 
-def common_shingles(docs: DataFrame, text_col: str, least: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles in more than ``least`` prefixes, sorted, and their places in the order, commonest last.
+def common_shingles(docs: DataFrame, least: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in more than ``least`` prefixes of some task, sorted, and their places in the order.
 
     The driver takes the commonest million at most; the others keep their place by hash, which costs candidates only.
     """
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_prefix_grams, "gram long, c long")
-    counted = counted.groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") > least)
+    counted = docs.select("text").mapInArrow(_prefix_grams(least), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     rows = counted.orderBy(F.desc("c"), "gram").limit(1_000_000).toPandas()
     gram, c = rows["gram"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
     by = np.argsort(gram)
@@ -190,59 +217,82 @@ def common_shingles(docs: DataFrame, text_col: str, least: int = COMMON) -> tupl
     return gram[by], rank[by]
 
 
-def representatives(docs: DataFrame, key_col: str, text_col: str, tables: StageTables, common: int = COMMON) -> DataFrame:
-    """``(key, node, n, first)``: the least key of each text up to case and white space; ``node`` is the key's row."""
-    late, rank = common_shingles(docs, text_col, common)
-    kind = docs.schema[key_col].dataType.simpleString()
-    narrow = docs.select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = tables.keep(narrow.mapInArrow(_signatures(late, rank), f"key {kind}, d1 long, d2 long, n int, first array<long>"), "jaccard-signed")
-    least = signed.groupBy("d1", "d2").agg(F.min("key").alias("key"))
-    kept = tables.keep(signed.join(least.select(F.col("key.__row").alias("__row")).hint("shuffle_hash"), F.col("key.__row") == F.col("__row"), "left_semi").select("key", F.col("key.__row").alias("node"), "n", "first"), "jaccard-distinct")
-    tables.drop(signed)
-    return kept
+def _check(pairs: DataFrame, docs: DataFrame, tables: StageTables, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that are similar enough, from the texts of the nodes that are in a pair."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = tables.keep(docs.select("node", "text").join(nodes.hint("shuffle_hash"), "node", "left_semi"), name + "-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    found = tables.keep(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), name)
+    tables.drop(texts)
+    tables.rest()
+    return found
 
 
-def links(docs: DataFrame, reps: DataFrame, text_col: str, tables: StageTables) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)``: links that keep every component of the graph of pairs at 0.8, and the components' ``(node, label)``."""
+def _pivot_pairs(posts: DataFrame, fingerprint_links: Callable, tables: StageTables) -> DataFrame:
+    """``(a, b)``: nodes whose fingerprints are equal or linked by the pivot tables, as lines to each one's least node."""
+    fps = tables.keep(posts.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "jaccard-fps")
+    links = fingerprint_links(fps.select("fp"), tables)
+    ends = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    apart = links.join(ends("a"), "a").join(ends("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    same = posts.join(fps.filter("n > 1"), "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return apart.unionByName(same)
+
+
+def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, tables: StageTables) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: links that keep every component of the graph of pairs at 0.8, and the components' ``(node, label)``.
+
+    ``docs(node, text)`` are all rows, ``signed(node, n, fp, first)`` those that take part.
+    """
     spark = docs.sparkSession
-    posts = reps.select("node", "n", F.posexplode("first").alias("at", "gram"))
+    posts = signed.select("node", "n", F.posexplode("first").alias("at", "gram"))
     by = Window.partitionBy("gram").orderBy("n", "node")
     seen = posts.withColumns({"prev": F.lag(F.struct("node", "n", "at")).over(by), "later": F.lead("node").over(by)})
     shared = tables.keep(seen.filter("prev IS NOT NULL OR later IS NOT NULL").drop("later"), "jaccard-shared")
-    texts = docs.select(F.col("__row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = tables.keep(texts.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "jaccard-texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
-
+    tables.rest()
     p = F.col("prev")
     near = shared.filter(p.isNotNull() & possible(p["n"], p["at"], F.col("n"), F.col("at")))
-    near = tables.keep(near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct(), "jaccard-near")
-    edges = tables.keep(verified(near), "jaccard-links")
+    near = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"))
+    near = tables.keep(near.unionByName(_pivot_pairs(signed.select("node", "fp"), fingerprint_links, tables)).distinct(), "jaccard-near")
+    edges = _check(near, docs, tables, "jaccard-links")
     labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
     dealt = shared.select("gram", "n", "at", "node").join(labels, "node", "left").select("gram", "n", "at", "node", F.coalesce("label", "node").alias("label"))
     dealt = dealt.repartition("gram").sortWithinPartitions("gram", "label")
-    rest = dealt.mapInArrow(_pair_batches, "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    more = tables.keep(verified(tables.keep(rest, "jaccard-rest")), "jaccard-more")
+    rest = tables.keep(dealt.mapInArrow(_pair_batches, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "jaccard-rest")
+    tables.drop(shared, near)
+    tables.rest()
+    more = _check(rest, docs, tables, "jaccard-more")
     edges = edges.unionByName(more)
     if not more.isEmpty():
         labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
-    tables.drop(shared, texts, near)
     return edges, labels
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
-    """One row of each component of ``docs``: the least id's, and of rows that share it the first read.
+def kept_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint_links: Callable, common: int = COMMON) -> DataFrame:
+    """The rows of ``docs`` that ``simhash.deduplicate`` keeps.
 
-    Null texts are empty, and empty texts are copies of each other. A null id comes before all others. All columns stay
-    as they are. Rows get a number, written out with them, so that repeated rows can be told apart.
+    A row's node is a hash of its file and its place in it, so rows are not written again if they are a file scan. Two
+    rows with one node (a chance of 10^-7 for 10^6 rows) are refused.
     """
     tables = StageTables(docs.sparkSession)
-    rows = tables.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "__row").alias("key"), F.col(text_col).alias("text"), "__row")
-    reps = representatives(keyed, "key", "text", tables, common)
-    _, labels = links(keyed, reps, "text", tables)
-    known = reps.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    stay = tables.keep(known.groupBy("label").agg(F.min("key").alias("key")).select("key.__row"), "jaccard-stay")
-    return rows.join(stay.hint("shuffle_hash"), "__row", "left_semi").drop("__row").select(*docs.columns)
+    names = docs.columns
+    if not bare_scan(docs):
+        docs = tables.keep(docs, "jaccard-docs")
+    place = docs.metadataColumn("_metadata")
+    rows = docs.withColumn("__node", F.xxhash64(place["file_path"], place["row_index"]))
+    texts = rows.select(F.col("__node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    late, rank = common_shingles(texts, common)
+    key = F.struct(F.col(id_col).alias("id"), F.col("__node").alias("node")).alias("key")
+    kind = rows.select(key).schema["key"].dataType.simpleString()
+    narrow = rows.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = tables.keep(narrow.mapInArrow(_signatures(late, rank), f"key {kind}, d1 long, d2 long, n int, fp long, first array<long>").withColumn("node", F.col("key.node")), "jaccard-signed")
+    least = tables.keep(signed.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.count("*").alias("n")), "jaccard-distinct")
+    total, nodes = least.agg(F.sum("n")).first()[0] or 0, signed.select("node").distinct().count()
+    if total != nodes:
+        raise ValueError("two rows have one number: write the table in other files")
+    one = signed.join(least.select(F.col("key.node").alias("node")).hint("shuffle_hash"), "node", "left_semi")
+    _, labels = links(texts, one, fingerprint_links, tables)
+    known = least.select("key", F.col("key.node").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    stay = tables.keep(known.groupBy("label").agg(F.min("key").alias("key")).select("key.node"), "jaccard-stay")
+    tables.drop(signed, least)
+    tables.rest()
+    return rows.join(stay.hint("shuffle_hash"), F.col("__node") == F.col("node"), "left_semi").select(*names)

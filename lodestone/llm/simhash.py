@@ -1,18 +1,25 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints are 64 bits over word shingles. To link all fingerprints within ``max_distance`` = 3 bits:
+Fingerprints are 64 bits over word shingles. To link all fingerprints within 3 bits:
 
 1. Exact copies collapse first: only distinct fingerprints go on.
-2. A pivot table holds, for each fingerprint, its Hamming distances to ``len(PIVOTS)`` reference fingerprints (packed,
-   a byte each). By the triangle inequality two fingerprints within 3 bits differ by at most 3 in every coordinate.
-3. Candidates meet by pigeonhole: the bits lie in 6 blocks, and 3 differing bits leave at least 3 blocks equal, so 20
-   tables of three blocks each lose no link and no pair of unlike fingerprints is ever formed across buckets. A bucket
-   with more than ``bucket_limit`` members is dealt again by 56 finer tables (5 of 8 parts of its free bits, which
-   leave at most 13 bits free), so a bucket has a proven bound, whatever the data.
-4. In a bucket, sorted by the first pivot coordinate, a pair is discarded when any coordinate differs by more than 3;
-   survivors are verified by XOR and a bit count. Verified links are thinned to a spanning forest before they leave the
-   task, so a large group of near copies gives a line for each member, not for each pair.
+2. The pivot table holds each fingerprint's Hamming distances to 33 references: zero, and one for each block of two
+   neighbouring bits, in which only that block is set. The distance to a reference in which any union of blocks is set
+   is a sum of these, so the table answers for 2^32 references. By the triangle inequality no coordinate of two near
+   fingerprints differs by more than 3; the largest difference over all those references is the sum, over the blocks, of
+   the differences in the number of bits set. A block's number follows from two distances, and is kept in unary in two
+   bits, so the largest difference is the bit count of an XOR of two such rows (``pivot_rows``).
+3. Candidates meet in cells of the pivot table: at most 3 of the 32 numbers differ, so of six groups of blocks at least
+   three agree, and 20 tables, each with the numbers of three groups as its key, lose no link. No pair is ever formed
+   across cells. A cell with more than ``bucket_limit`` members is dealt again by what the numbers leave open, as
+   distances to single bits (220 tables, ``fine_keys``), which leaves 13 bits free: a cell has at most 8,192 members.
+4. In a cell, sorted by the distance to zero, a pair is discarded when that coordinate or the largest difference exceeds
+   3; survivors are verified by XOR and a bit count. Verified links are thinned to a spanning forest before they leave
+   the task, so a large group of near copies gives a line for each member, not for each pair.
 5. Components come from ``common.components``.
+
+``deduplicate`` is the operator over texts: links are pairs of a shingle Jaccard similarity of at least 0.8. The pivot
+tables' links go through that exact check, and ``jaccard`` completes them, as near texts may differ in more bits.
 """
 
 from __future__ import annotations
@@ -32,10 +39,14 @@ SEED = 42
 MAX_DISTANCE = 3
 BUCKET_LIMIT = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Widths of the six blocks, from the low bits up.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Reference fingerprints: eight fixed pseudo-random words (XXH64 of their number), as signed longs.
-PIVOTS = tuple(int(np.uint64(xxhash.xxh64_intdigest(bytes([i]), seed=SEED)).astype(np.int64)) for i in range(8))
+#: The references of the pivot table beside zero: block b is the bits 2b and 2b + 1.
+BLOCKS = 32
+PIVOTS = tuple(int(np.uint64(3 << 2 * b).astype(np.int64)) for b in range(BLOCKS))
+#: The blocks of each of the six groups, and the tables: the groups that must agree.
+GROUPS = tuple(tuple(range(g, BLOCKS, 6)) for g in range(6))
+TABLES = tuple(combinations(range(6), 3))
+#: The open bits of a hot cell are dealt by 9 of 12 parts.
+PARTS, EQUAL_PARTS = 12, 9
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -75,54 +86,62 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def pivot_column(fp: Column) -> Column:
-    """The distances to the eight pivots, a byte each, the first in the highest byte."""
-    out = F.lit(0).cast("long")
-    for i, p in enumerate(PIVOTS):
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * (7 - i)))
-    return out
-
+def distances(fp: Column) -> tuple[Column, list[Column]]:
+    """The distance to zero, and those to the other references."""
+    return F.bit_count(fp), [F.bit_count(fp.bitwiseXOR(F.lit(p))) for p in PIVOTS]
 
-def _shifts(widths: tuple[int, ...]) -> list[int]:
-    return [sum(widths[:i]) for i in range(len(widths))]
 
+def pivot_rows(fp: Column) -> tuple[Column, Column]:
+    """The distance to zero, and the bits set in each block, which two distances tell, in unary: 0, 1 or 3 at 2b."""
+    zero, others = distances(fp)
+    out = F.lit(0).cast("long")
+    for b, d in enumerate(others):
+        n = ((zero - d + 2) / 2).cast("int")
+        out = out.bitwiseOR(F.shiftleft((n + F.shiftright(n, 1)).cast("long"), 2 * b))
+    return zero, out
 
-def _pick(fp: Column, chosen: list[tuple[int, int]]) -> Column:
-    """The chosen (shift, width) pieces of the bits, side by side."""
-    out, at = F.lit(0).cast("long"), 0
-    for shift, width in chosen:
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)), at))
-        at += width
-    return out
 
+def cells(pv: Column) -> Column:
+    """An array of the 20 cells of a pivot row: the numbers of three groups of blocks, and the table's number mixed in.
 
-def block_keys(fp: Column) -> Column:
-    """An array of the 20 (table, three blocks) keys, each one long."""
-    shift = _shifts(BLOCKS)
+    The two bits of each block lie side by side, 34 bits at most.
+    """
     keys = []
-    for t, trio in enumerate(combinations(range(6), 3)):
-        keys.append(_pick(fp, [(shift[i], BLOCKS[i]) for i in trio]).bitwiseOR(F.lit(t << 40)))
+    for t, trio in enumerate(TABLES):
+        key, at = F.lit(t << 40), 0
+        for g in trio:
+            for b in GROUPS[g]:
+                key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(pv, 2 * b).bitwiseAND(F.lit(3)), at))
+                at += 2
+        keys.append(key)
     return F.array(*keys)
 
 
-def fine_keys(fp: Column, key: Column) -> Column:
-    """For a hot bucket: an array of the 56 keys of its free bits."""
-    shift, cases = _shifts(BLOCKS), None
-    for t, trio in enumerate(combinations(range(6), 3)):
-        free = [i for i in range(6) if i not in trio]
-        pieces = []
-        for i in free:  # the free bits, cut into eight parts of 3 or 4 bits, each inside a block
-            parts = 3 if BLOCKS[i] == 11 and len(pieces) < 6 or len(pieces) == 0 else 2
-            if len(free) - free.index(i) == 1:
-                parts = 8 - len(pieces)
-            width = BLOCKS[i]
-            cut = [width // parts + (1 if k < width % parts else 0) for k in range(parts)]
-            for k in range(parts):
-                pieces.append((shift[i] + sum(cut[:k]), cut[k]))
-        keys = [_pick(fp, [pieces[k] for k in five]).bitwiseOR(F.lit(s << 40)) for s, five in enumerate(combinations(range(8), 5))]
-        here = F.shiftrightunsigned(key, 40) == F.lit(t)
-        cases = F.when(here, F.array(*keys)) if cases is None else cases.when(here, F.array(*keys))
-    return cases
+def fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k1, fp, d0, pv) of hot cells become 220 rows (k1, k2, fp, d0, pv).
+
+    A cell fixes the numbers of its blocks; one bit of each such block and both bits of every other are left open. Two
+    near fingerprints differ in at most 3 of these places, 49 at most, so 9 of 12 parts agree, and 3 parts are free.
+    """
+    chosen = list(combinations(range(PARTS), EQUAL_PARTS))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            k1, fp = part.column(0).to_numpy(), part.column(1).to_numpy()
+            table = k1 >> 40
+            for t in np.unique(table).tolist():
+                mine = np.nonzero(table == t)[0]
+                fixed = {b for g in TABLES[t] for b in GROUPS[g]}
+                places = [2 * b for b in range(BLOCKS)] + [2 * b + 1 for b in range(BLOCKS) if b not in fixed]
+                bits = (fp[mine][:, None] >> np.array(places)) & 1
+                split = np.array_split(np.arange(len(places)), PARTS)
+                words = [bits[:, p] @ (1 << np.arange(len(p))) for p in split]
+                for s, nine in enumerate(chosen):
+                    k2 = np.full(len(mine), s << 48)
+                    for n, k in enumerate(nine):
+                        k2 |= words[k] << (5 * n)
+                    take = pa.array(mine)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(k2), *(part.column(c).take(take) for c in (1, 2, 3))], ["k1", "k2", "fp", "d0", "pv"])
 
 
 def _root(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -134,26 +153,26 @@ def _root(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         up = higher
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning-forest links among rows sorted by (key, pivots); equal neighbours in ``key`` form a bucket.
+def bucket_links(key: np.ndarray, fp: np.ndarray, zero: np.ndarray, pivots: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning-forest links among rows sorted by (key, zero); equal neighbours in ``key`` form a cell.
 
-    All buckets advance together: at offset d each row meets the row d places on, as long as both lie in one bucket and
-    the first coordinate, by which they are sorted, is near enough. Rows that already share a root are not compared.
+    All cells advance together: at offset d each row meets the row d places on, as long as both lie in one cell and the
+    distance to zero, by which they are sorted, is near enough. Then the largest coordinate difference decides, then the
+    fingerprints themselves.
     """
     n = len(key)
-    coords = pivots.astype(">i8").view(np.uint8).reshape(n, 8).astype(np.int16)
     parent = np.arange(n)
     out_a, out_b = [], []
     alive, d = np.arange(n), 1
     while len(alive):
         alive = alive[alive + d < n]
         other = alive + d
-        near = (key[alive] == key[other]) & (coords[other, 0] - coords[alive, 0] <= max_distance)
+        near = (key[alive] == key[other]) & (zero[other] - zero[alive] <= max_distance)
         alive = alive[near]
         if not len(alive):
             break
         other = alive + d
-        fits = (np.abs(coords[alive] - coords[other]) <= max_distance).all(axis=1)
+        fits = np.bitwise_count((pivots[alive] ^ pivots[other]).view(np.uint64)) <= max_distance
         i, j = alive[fits], other[fits]
         close = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= max_distance
         i, j = i[close], j[close]
@@ -175,12 +194,12 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, max_distan
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, fp, pv) come sorted; a bucket that a batch ends in waits for the next batch."""
+    """Rows (k1, k2, fp, d0, pv) come sorted; a cell that a batch ends in waits for the next batch."""
     rest = None
 
     def linked(block: np.ndarray) -> pa.RecordBatch:
         fresh = np.r_[True, (block[1:, :2] != block[:-1, :2]).any(axis=1)]
-        a, b = bucket_links(np.cumsum(fresh), block[:, 2].copy(), block[:, 3].copy())
+        a, b = bucket_links(np.cumsum(fresh), *(block[:, k].copy() for k in (2, 3, 4)))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -199,17 +218,17 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def links(fps: DataFrame, tables: StageTables, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``(a, b)`` links of distinct fingerprints ``fps(fp)`` that keep every component of the 3-bit graph."""
-    fp = F.col("fp")
-    keyed = fps.select("fp", pivot_column(fp).alias("pv"), F.explode(block_keys(fp)).alias("k1"))
+    zero, pv = pivot_rows(F.col("fp"))
+    table = tables.keep(fps.select("fp", zero.cast("long").alias("d0"), pv.alias("pv")), "simhash-pivots")
+    keyed = table.select("fp", "d0", "pv", F.explode(cells(F.col("pv"))).alias("k1"))
     sizes = keyed.groupBy("k1").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    sizes = tables.keep(sizes, "simhash-buckets")
-    hot = sizes.filter(F.col("n") > bucket_limit)
-    shared = keyed.join(sizes, "k1")
-    plain = shared.filter(F.col("n") <= bucket_limit).select("k1", F.lit(0).cast("long").alias("k2"), "fp", "pv")
-    if not hot.isEmpty():
-        again = shared.filter(F.col("n") > bucket_limit)
-        plain = plain.unionByName(again.select("k1", F.explode(fine_keys(fp, F.col("k1"))).alias("k2"), "fp", "pv"))
-    dealt = plain.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "pv")
+    sizes = tables.keep(sizes, "simhash-cells")
+    shared = keyed.join(sizes.hint("shuffle_hash"), "k1")
+    plain = shared.filter(F.col("n") <= bucket_limit).select("k1", F.lit(0).cast("long").alias("k2"), "fp", "d0", "pv")
+    if not sizes.filter(F.col("n") > bucket_limit).isEmpty():
+        again = shared.filter(F.col("n") > bucket_limit).select("k1", "fp", "d0", "pv")
+        plain = plain.unionByName(again.mapInArrow(fine_keys, "k1 long, k2 long, fp long, d0 long, pv long"))
+    dealt = plain.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "d0")
     return dealt.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
@@ -239,15 +258,13 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row of each near-duplicate component of ``docs``: the least id's, and of rows that share it the first read.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row of each near-duplicate component of ``docs``: the least id's, and of rows that share it the first.
 
-    A null id comes before all others here. All columns stay as they are. Rows get a number, written out with them, so
-    that repeated rows can be told apart whatever the executors do.
+    Two texts are linked if their sets of ``jaccard.WORDS``-word shingles have a Jaccard similarity of 0.8 or more. Null
+    texts are empty, and empty texts are copies of each other. A null id comes before all others. All columns stay as
+    they are, whatever they are called, and an empty table stays empty.
     """
-    tables = StageTables(docs.sparkSession)
-    rows = tables.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    keyed = rows.select(F.struct(F.col(id_col).alias("id"), "__row").alias("key"), F.col(text_col).alias("text"))
-    found = near_duplicates(keyed, "key", "text", words)
-    stay = tables.keep(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.__row"), "simhash-stay")
-    return rows.join(stay.hint("shuffle_hash"), "__row", "left_semi").drop("__row").select(*docs.columns)
+    from .jaccard import kept_rows
+
+    return kept_rows(docs, id_col, text_col, lambda fps, tables: links(fps, tables, bucket_limit))

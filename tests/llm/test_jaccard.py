@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard
+from lodestone.llm import jaccard, simhash
 
 
 def sets(text):
@@ -53,13 +54,25 @@ def test_stage_equals_all_pairs(spark):
     want = brute(rows)
     got = [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert {r.doc_id for r in jaccard.deduplicate(df, common=3).collect()} == want
+    assert {r.doc_id for r in simhash.deduplicate(df.repartition(5), bucket_limit=3).collect()} == want
 
 
 def test_empty_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "q r s t")], "doc_id long, text string")
-    assert jaccard.deduplicate(df.limit(0)).count() == 0
-    assert sorted(str(r.doc_id) for r in jaccard.deduplicate(df).collect()) == ["1", "None"]
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.deduplicate(df).collect()) == ["1", "None"]
+    names = ["node", "__row", "fp", "_metadata", "label"]
+    wide = df.select("doc_id", "text", *[F.lit(7).alias(c) for c in names])
+    rows = simhash.deduplicate(wide).collect()
+    assert len(rows) == 2 and all(r[c] == 7 for r in rows for c in names) and rows[0].__fields__ == ["doc_id", "text", *names]
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 100):
+        g = rng.integers(-(1 << 63), 1 << 63, n)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in g) > n)
+        assert jaccard.fingerprint(g) == int(np.uint64(want).astype(np.int64))
 
 
 def test_bucket_pairs_in_steps(monkeypatch):
