@@ -8,9 +8,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from lodestone.llm import chunkdedup, hamming, urlfilter, warc
+from lodestone.llm import chunkdedup, urlfilter, warc
 from lodestone.llm.common import StageTables
 
 URLS = [None, "", "no scheme", "http://NET/", "https://a.net", "http://x.example.net/en/q?a#b", "http://example.com/de/", "http://notexample.com/de/", "x://org/fr/", "http://a.org/fr", "http://e.com/.net/", "http://a.net:80/", "http://😀.net/é"]
@@ -77,21 +75,6 @@ def test_chunks_resist_insertions():
     assert both[0] == next(chunkdedup.chunk_texts([text])) and both[1] == []
 
 
-def test_hamming_search(spark):
-    rng = np.random.default_rng(1)
-    values = rng.integers(-(1 << 63), 1 << 63, 300)
-    values[:120] = values[0]
-    values[120:160] = values[0] ^ (1 << rng.integers(0, 40, 40))
-    rows = [(i, int(v)) for i, v in enumerate(values)] + [(3, int(values[3])), (400, None)]
-    codes = spark.createDataFrame(rows, "id long, code long")
-    queries = codes.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "code")
-    got = {(r.query_id, r.rank): (r.id, r.distance) for r in hamming.search(codes, queries, 5).collect()}
-    for q in range(0, 300, 20):
-        d = sorted((int(np.bitwise_count(np.uint64(values[q] ^ v))), i) for i, v in enumerate(values) if i != q)[:5]
-        assert [got[q, k + 1] for k in range(5)] == [(i, x) for x, i in d]
-    assert hamming.search(codes.limit(0), queries, 5).count() == 0
-
-
 def test_stage_tables(spark):
     t = StageTables(spark)
     kept = t.keep(spark.range(3), "x")
