@@ -316,8 +316,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     digest, kind = ["d1", "d2"], docs.schema[id_col].dataType.simpleString()
     place = F.xxhash64("doc", "start") if inside else F.col("doc")
     held = table.groupBy(*digest).agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select(*digest)
+    held = tables.keep(held, "cdc-shared")  # both sides of the join are then plain exchanges, and a hot digest is split
     hits = hits_kept = tables.keep(table.join(held.hint("shuffle_hash"), digest, "left_semi"), "cdc-hits")
-    tables.drop(table)
+    tables.drop(table, held)
     first = tables.keep(hits.groupBy(*digest).agg(F.min(F.struct("doc_id", "doc", "start")).alias("f")), "cdc-first")
     away = F.col("f.doc") != F.col("doc")
     if inside:
