@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import StageTables
+from .common import StageTables, let
 
 WINDOW, REACH_CUT, MIN_BYTES, MAX_BYTES = 32, 32, 24, 256
 MIN_WORDS, MIN_RUN, REACH = 50, 600, 256
@@ -369,9 +369,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.withColumn("__doc", F.xxhash64(F.col(id_col), data)).join(cuts, "__doc", "left")
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["stop"])
-    parts = F.transform("__cuts", lambda c, i: F.substring(data, start(i) + 1, c["start"] - start(i)).cast("string"))
-    tail = F.substring(data, F.element_at("__cuts", -1)["stop"] + 1, F.octet_length(data)).cast("string")
-    text = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), tail))
+    parts = lambda d: F.transform("__cuts", lambda c, i: F.substring(d, start(i) + 1, c["start"] - start(i)).cast("string"))
+    tail = lambda d: F.substring(d, F.element_at("__cuts", -1)["stop"] + 1, F.octet_length(d)).cast("string")
+    text = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(let(data, lambda d: F.concat(F.array_join(parts(d), ""), tail(d))))
     return keyed.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -1,4 +1,7 @@
+import hashlib
+import random
 import re
+import time
 
 from lodestone.llm import secrets
 
@@ -34,8 +37,10 @@ def test_equals_brute_force(spark):
     rows = secrets.find_secrets(df).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
-        assert [tuple(s) for s in r.secret_spans if s[1] < 3] == brute(r.text), r.text
+        assert [tuple(s)[:3] for s in r.secret_spans if s[1] < 3] == brute(r.text), r.text
         assert r.rules == 5
+        data = (r.text or "").encode()
+        assert all(data[x.first_byte : x.last_byte].decode() == r.text[x.start : x.stop] for x in r.secret_spans)
     pem = next(r for r in rows if r.doc_id == 7)
     assert {s[1] for s in pem.secret_spans} == {3, 4}
     assert secrets.find_secrets(df.limit(0)).count() == 0
@@ -49,7 +54,87 @@ def test_redaction(spark):
     assert got == {1: "é [SECRET] end", 2: "clean", 3: None}
 
 
+def generated(rnd, parsed, fold=False):
+    """A random match of a parsed expression."""
+    out = []
+    for kind, value in parsed:
+        if kind is secrets.op.LITERAL:
+            c = chr(value)
+            out.append(rnd.choice([c, c.swapcase()]) if fold else c)
+        elif kind is secrets.op.IN:
+            k, v = rnd.choice(value)
+            out.append(chr(v) if k is secrets.op.LITERAL else chr(rnd.randint(*v)))
+        elif kind is secrets.op.SUBPATTERN:
+            out.append(generated(rnd, value[3], fold or bool(value[1] & re.I)))
+        elif kind is secrets.op.BRANCH:
+            out.append(generated(rnd, rnd.choice(value[1]), fold))
+        elif kind is secrets.op.MAX_REPEAT:
+            out += [generated(rnd, value[2], fold) for _ in range(rnd.randint(value[0], min(value[0] + 3, int(value[1]))))]
+        elif kind is not secrets.op.AT:
+            raise AssertionError(kind)
+    return "".join(out)
+
+
+MORE = ["x(abc|abd)+y", "(foo|ba[rz])(qux)?end", "a?b?c?defgh", "(?i:Key)[0-9]{2}-(aa|bb|cc)z", "[a-d]{3}xyz", "(one|two|three)(four|five|six)(seven|eight|nine)", "ab", "(abcd)*", "(a|b|c|d|e)(f|g|h|i)(j|k|l)mno", "^start.*stop$", "ab(cd){2,5}ef", "(abc|)def"]
+
+
+def test_queries_are_implied_by_generated_matches():
+    rnd = random.Random(3)
+    for pattern in [r.pattern for r in secrets.RULES] + MORE:
+        if ".*" in pattern:
+            continue
+        rule, parsed = secrets.Rule("x", pattern), secrets.parser.parse(pattern)
+        query = secrets.required(rule)
+        for _ in range(300):
+            text = generated(rnd, parsed)
+            assert re.search(pattern, text), (pattern, text)
+            low = "".join(map(secrets.low, text))
+            assert not query or any(all(t in low for t in a) for a in query), (pattern, text, query)
+
+
 def test_queries_of_rules():
-    assert secrets.required(secrets.RULES[2]) == []
-    assert frozenset({"aki", "kia"}) in secrets.required(secrets.RULES[1])
+    asked = {r.kind: secrets.required(r) for r in secrets.RULES}
+    assert asked["hex"] == [] and asked["access"] == [frozenset({"aki", "kia"})]
+    assert len(asked["assign"]) == 6 and frozenset({"tok", "oke", "ken"}) in asked["assign"]
+    assert len(asked["forge"]) == 5 and {"beg", "pri", "y--"} <= asked["pem"][0] and len(asked["pem"]) == 1
+    assert secrets.required(secrets.Rule("x", "^start.*stop$")) == [frozenset({"sta", "tar", "art", "sto", "top"})]
+    assert secrets.required(secrets.Rule("x", "ab")) == secrets.required(secrets.Rule("x", "(abcd)*")) == []
     assert all(len(t) == 3 for t in secrets.index_terms(secrets.RULES))
+    many = tuple(secrets.Rule(str(i), f"rule{i:03d}of{i * 7:04d}text") for i in range(60))
+    assert len(secrets.index_terms(many)) <= secrets.MOST_TERMS
+
+
+def test_running(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 3, 7, 20):
+        df = spark.createDataFrame([([(i * 7) % 5 for i in range(n)],)], "v array<int>")
+        v = df.first().v
+        sums, most = df.select(secrets.running(F.col("v"), F.lit(0), lambda a, b: a + b, 3), secrets.running(F.col("v"), F.lit(0), lambda a, b: F.greatest(a, b), 3)).first()
+        assert sums == [sum(v[:i]) for i in range(n)] and most == [max([0, *v[:i]]) for i in range(n)]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    text = "é token=abcdefgh1 \n" * n
+    began = time.time()
+    df = secrets.find_secrets(spark.createDataFrame([(1, text), (2, "x" * 3_000_000)], "doc_id long, text string"))
+    row = df.filter("doc_id = 1").select(F.size("secret_spans"), F.element_at("secret_spans", -1), F.octet_length(secrets.redacted(F.col("text"), F.col("secret_spans")))).first()
+    assert row[0] == n and tuple(row[1])[:3] == (len(text) - 17, 0, len(text) - 2) and row[2] == n * len("é [SECRET] \n".encode())
+    assert time.time() - began < 120
+
+
+def test_query_equals_brute_force(spark):
+    from lodestone.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in registry.queries()["op9_secrets"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        spans, r = brute(d.text), got[d.doc_id]
+        listed = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
