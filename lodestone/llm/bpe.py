@@ -5,28 +5,32 @@ every base symbol loops. Merge number k of (u, v) applies one gadget: the state
 arc v (u then v no longer spells a path), u's arcs go to the copy, and wherever u could be taken, an arc uv now leads
 to the state that v led to before. A text then has exactly one path, and it is the result of the merges.
 
-States are kept by structural sharing: a copy is its original plus one removed arc, so the gadget log (removed pair ->
-number, and for each token its two parts) *is* the automaton, and a table of the arcs that were looked up answers in
-one step (``follows``). Words are read left to right: a trie over base symbols proposes the tokens that start at each
-position, the transition table accepts exactly one token that ends at each later one, and arc labels give the text
-back.
+A copy is its original plus one removed arc, so a state is kept as its chain of removed arcs, each with the number of
+its gadget, and ``TokenAutomaton.removed`` is that table. Two things tell when a removed arc v counts for an arc w out
+of the state after x, and are tables too (``ends`` and ``begins``): x leads where its last part r led when x was made,
+so removals from r's state count up to then; and w was added where its first part was still an arc when w was made, so
+removals of l count up to then. ``follows`` is one look into these tables for each pair of parts, a handful.
+
+Words are read left to right: a trie over base symbols proposes the tokens that start at each position, the tables
+accept or refuse them, and a prefix has one accepted path at most, so an end that fails is never tried again. Arc labels
+give the text back.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode defines it; U+001C to U+001F are not part of it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed value: the pattern that splits words into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words longer than this are encoded without the cache, which holds so many words in each of its two generations.
 CACHED_CHARS, CACHED_WORDS = 48, 200_000
 #: Text characters that go into one batch of results, about.
@@ -70,9 +74,10 @@ class TokenAutomaton:
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         if model["type"] != "BPE" or normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"] or spec["decoder"]:
             raise ValueError("this automaton reads word-splitting, lower-casing BPE files with byte symbols and no decoder")
-        pattern = splits[0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace("\\s", SPACE)).findall
-        self.spaces = regex.compile(f"[{SPACE}]+")
+        if splits[0]["pattern"]["Regex"] != PIECES:
+            raise ValueError("this automaton knows one way to split words")
+        self.ascii_pieces = re.compile(PIECES.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"), re.A).findall
+        self.spaces = re.compile(f"[{SPACE}]+")
         vocab = model["vocab"]
         self.labels = [""] * (1 + max([*vocab.values(), *(x["id"] for x in spec["added_tokens"])]))
         for label, i in vocab.items():
@@ -85,29 +90,41 @@ class TokenAutomaton:
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + suffix] for s in symbols]
         self.trie: dict | None = None
+        self.unicode: tuple | None = None
         self.source = (vocab, model["merges"])  # compiled when the first word comes; a worker that decodes never does
         self.words, self.pieces_seen = Seen(self._chunk), Seen(self._word_ids)
 
     def _compile(self) -> None:
         vocab, merges = self.source
         self.source, n = None, len(self.labels)
-        self.left, self.right, self.made = [-1] * n, [-1] * n, [-1] * n
-        self.removed: dict[int, int] = {}
-        self.n = n
+        left, right, made = [-1] * n, [-1] * n, [-1] * n
+        #: For each token, the arcs removed from the state that it leads to, and the gadgets that did it.
+        self.removed: list[dict[int, int] | None] = [None] * n
         for k, pair in enumerate(merges):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if self.made[w] >= 0 or k <= max(self.made[u], self.made[v]):
+            if made[w] >= 0 or k <= max(made[u], made[v]):
                 raise ValueError("a merge makes a token twice, or uses one before it is made")
-            self.removed[u * n + v] = k
-            self.left[w], self.right[w], self.made[w] = u, v, k
-        self.arcs: dict[int, bool] = {}
-        self.trie = {}
+            if self.removed[u] is None:
+                self.removed[u] = {}
+            self.removed[u][v] = k
+            left[w], right[w], made[w] = u, v, k
+        #: For each token, its last parts with removals and its first parts, each with the gadget up to which it counts.
+        self.ends: list[tuple] = [()] * n
+        self.begins: list[tuple] = [()] * n
         spelled: dict[int, str] = {}
         for b in range(256):
             spelled[self.inner[b]], spelled[self.final[b]] = chr(b), chr(256 + b)
-        for w in sorted((t for t in range(n) if self.made[t] >= 0), key=self.made.__getitem__):
-            spelled[w] = spelled[self.left[w]] + spelled[self.right[w]]
+        never = len(merges)
+        for w in sorted(range(n), key=made.__getitem__):
+            if made[w] >= 0:
+                spelled[w] = spelled[left[w]] + spelled[right[w]]
+            own = [] if self.removed[w] is None else [(self.removed[w], never)]
+            made_of = made[w] >= 0
+            self.ends[w] = (*own, *((x, min(until, made[w])) for x, until in (self.ends[right[w]] if made_of else ())))
+            # The gadget that made w removed its arc first: in "ooo" the first two letters are the pair.
+            self.begins[w] = ((w, never), *((x, min(until, made[w] + 1)) for x, until in (self.begins[left[w]] if made_of else ())))
+        self.trie = {}
         for t, path in spelled.items():
             node = self.trie
             for symbol in path:
@@ -115,32 +132,15 @@ class TokenAutomaton:
             node[""] = t
 
     def follows(self, t: int, w: int) -> bool:
-        """Whether the state after token ``t`` has an arc ``w``; answered from the table after the first time."""
+        """Whether the state after token ``t`` has an arc ``w``."""
         if self.trie is None:
             self._compile()
-        key = t * self.n + w
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            found = self.arcs[key] = self._derive(t, w)
-        return found
-
-    def _derive(self, x: int, w: int) -> bool:
-        """From the gadget log: arc w of a state goes back to the arc of w's first part when w was made, and the state
-        after x to the state after x's last part when x was made. ``before``: gadgets from this number on don't count."""
-        before = len(self.made)
-        while True:
-            gone = self.removed.get(x * self.n + w)
-            if gone is not None and gone < before:
-                return False
-            k, made = self.made[w], self.made[x]
-            if k < 0 and made < 0:
-                return True
-            if made <= k:
-                before, w = min(before, k + 1), self.left[w]
-            else:
-                before, x = min(before, made), self.right[x]
+        for gone, until in self.ends[t]:
+            for part, counts in self.begins[w]:
+                k = gone.get(part)
+                if k is not None and k < until and k < counts:
+                    return False
+        return True
 
     def _starts(self, path: str, at: int) -> list[tuple[int, int]]:
         """The tokens that start at ``at`` and where they end, the longest last."""
@@ -165,16 +165,14 @@ class TokenAutomaton:
         data = piece.encode()
         path = data[:-1].decode("latin-1") + chr(256 + data[-1])
         n, tokens, ends, waiting, dead = len(path), [], [0], [], set()
-        open_, arcs, width = self._starts(path, 0), self.arcs, self.n
+        open_, follows = self._starts(path, 0), self.follows
         while True:
             while open_:
                 t, e = open_.pop()
                 if e in dead:
                     continue
-                if tokens:
-                    fits = arcs.get(tokens[-1] * width + t)
-                    if not (self.follows(tokens[-1], t) if fits is None else fits):
-                        continue
+                if tokens and not follows(tokens[-1], t):
+                    continue
                 tokens.append(t)
                 if e == n:
                     return tokens
@@ -188,10 +186,23 @@ class TokenAutomaton:
     def _word_ids(self, piece: str) -> bytes:
         return np.array(self.word(piece), "<u4").tobytes()
 
+    def _library(self):
+        """The library's Unicode steps, for what is not ASCII: which characters are letters, and how they lower."""
+        if self.unicode is None:
+            from tokenizers import Regex, normalizers, pre_tokenizers
+
+            form = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            self.unicode = form.normalize_str, pre_tokenizers.Split(Regex(PIECES), "removed", invert=True).pre_tokenize_str
+        return self.unicode
+
     def _chunk(self, raw: str) -> bytes:
         """The ids of one run without white space, little-endian."""
-        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ")
-        return b"".join(map(self.pieces_seen.__getitem__, self.pieces(text.lower())))
+        if raw.isascii():
+            pieces = self.ascii_pieces(raw.lower())
+        else:
+            normal, split = self._library()
+            pieces = [piece for piece, _ in split(normal(raw))]
+        return b"".join(map(self.pieces_seen.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers; null is empty."""
