@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,9 @@ from lodestone.functions import text as t
 ENTRY = "name string, path string, kind string, extension string, mtime long"
 #: Folder names that a crawl leaves out, and volatile folders whose changes are not followed.
 EXCLUDED_NAMES = ("$recycle.bin", "system volume information", "node_modules", ".git")
-CHURN = r"(?i)[\\/](temp|tmp|cache|caches|logs|__pycache__)([\\/]|$)"
+CHURN_NAMES = ("appdata", "$recycle.bin", "system volume information", "node_modules", ".git", ".cache", ".claude", ".vscode", ".gradle", "temp", "tmp")
+CHURN_TOPS = ("windows", "program files", "program files (x86)", "programdata")
+CHURN = r"(?i)[\\/](" + "|".join(map(re.escape, CHURN_NAMES)) + r")([\\/]|$)|^[a-z]:[\\/](" + "|".join(map(re.escape, CHURN_TOPS)) + r")([\\/]|$)"
 
 
 def with_keys(entries: DataFrame) -> DataFrame:
@@ -53,11 +56,11 @@ def not_excluded(path: Column, name: Column, excluded: list[str], names: tuple[s
 
 
 def is_churn(path: Column, roots: list[str]) -> Column:
-    """In a volatile folder, unless a root that is itself inside one holds the path."""
-    import re
-
-    chosen = [r for r in roots if re.search(CHURN, r)]
-    return path.rlike(CHURN) & ~any_of([F.startswith(F.lower(path), F.lit(r.lower())) for r in chosen])
+    """In a volatile folder, unless a root that is itself inside one is the path or holds it."""
+    chosen = [r.lower().rstrip("\\/") for r in roots if re.search(CHURN, r)]
+    low = F.lower(path)
+    held = [(low == r) | F.startswith(low, F.lit(r + "\\")) | F.startswith(low, F.lit(r + "/")) for r in chosen]
+    return path.rlike(CHURN) & ~any_of(held)
 
 
 def compact_log(changes: DataFrame) -> DataFrame:

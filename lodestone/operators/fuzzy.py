@@ -15,24 +15,22 @@ from lodestone.functions.text import is_syllable, to_jamo
 from .match import match_term
 
 
-def shares_letters(name: Column, term: q.FuzzyTerm) -> Column:
-    """The cheap test: all but one of the term's syllables, or some pair of its letters."""
-    if term.chars:
-        shared = reduce(lambda a, b: a + b, [F.contains(name, F.lit(c)).cast("int") for c in term.chars])
-        return shared >= term.need
-    return reduce(lambda a, b: a | b, [F.contains(name, F.lit(b)) for b in term.bigrams], F.lit(False))
+def shares_letters(name: Column, token: str) -> Column:
+    """The cheap test: so many of a token's syllables, or of its pairs of letters, are in the name."""
+    strings, need = q.shared_letters(token)
+    return reduce(lambda a, b: a + b, [F.contains(name, F.lit(x)).cast("int") for x in strings]) >= need
 
 
-def contains_fuzzy(name: Column, term: q.FuzzyTerm) -> Column:
-    """Whether some part of ``name`` is one edit (a jamo, for Hangul) from the term; the cheap test goes first."""
-    pattern = term.jamo
+def contains_fuzzy(name: Column, token: str) -> Column:
+    """Whether some part of ``name`` is one edit (a jamo, for Hangul) from the token; the cheap test goes first."""
+    pattern = to_jamo(token)
 
     @pandas_udf("boolean")
     def near(names: pd.Series) -> pd.Series:
         return names.map(lambda n: n is not None and q.within_one_edit(to_jamo(n), pattern))
 
     # Python only gets the names that pass: the others are nulls to it.
-    kept = F.when(shares_letters(name, term), name)
+    kept = F.when(shares_letters(name, token), name)
     return F.coalesce(near(kept), F.lit(False))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
 
-CHUNK_CHARS, CHUNK_SHIFT = 800, 1 << 20
+CHUNK_CHARS, CHUNK_SHIFT, BUCKETS = 800, 1 << 20, 64
 _CHUNK = "struct<text:string,size:int,lines:int,marks:array<struct<offset:int,line:int>>>"
 
 
@@ -68,14 +68,29 @@ def loose_postings(chunk_table: DataFrame, is_ocr: Column) -> DataFrame:
 
 
 def vocabulary(posting_table: DataFrame) -> DataFrame:
-    """``(tok, doc)``: the number of chunks that hold a token."""
+    """``(tok, doc)``: the number of chunks that hold a token, from postings."""
     return posting_table.select("tok", "chunk_id").distinct().groupBy("tok").agg(F.count("*").alias("doc"))
 
 
-def write_index(posting_table: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings by token bucket and sorted in it, so that a term reads one bucket and few row groups."""
-    bucketed = posting_table.withColumn("tok_bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets)))
-    bucketed.repartition("tok_bucket").sortWithinPartitions("tok_bucket", "tok", "chunk_id", "pos").write.partitionBy("tok_bucket").parquet(path)
+def chunk_vocabulary(chunk_table: DataFrame) -> DataFrame:
+    """The same from chunks: a chunk is one row, so its tokens are made distinct in it and only counts are shuffled."""
+    each = chunk_table.select(F.explode(F.array_distinct(t.tokens(t.index_form(F.col("text"))))).alias("tok"))
+    return each.groupBy("tok").agg(F.count("*").alias("doc"))
+
+
+def token_bucket(tok: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(tok), F.lit(buckets)).cast("int")
+
+
+def write_index(posting_table: DataFrame, path: str, buckets: int = BUCKETS, parts: int = 16) -> None:
+    """Postings by token bucket and sorted in it, so that a term reads one bucket and few row groups.
+
+    Each bucket is dealt into ``parts`` by file, so a common word's postings are no single task's.
+    """
+    bucketed = posting_table.withColumn("tok_bucket", token_bucket(F.col("tok"), buckets))
+    salted = bucketed.withColumn("__part", F.pmod(F.xxhash64("file_id"), F.lit(parts)))
+    sorted_rows = salted.repartition("tok_bucket", "__part").sortWithinPartitions("tok_bucket", "tok", "chunk_id", "pos").drop("__part")
+    sorted_rows.write.mode("overwrite").partitionBy("tok_bucket").parquet(path)
 
 
 def replace_files(table: DataFrame, saved: DataFrame, key: str = "file_id") -> DataFrame:

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import query as q
 
-from .index import first_per_file
+from .index import BUCKETS, first_per_file
+
+
+def bucket_of(token: str, buckets: int = BUCKETS) -> int:
+    """The bucket that ``token_bucket`` gives a token, worked out on the driver, so that the filter is a constant."""
+    value = xxhash.xxh64_intdigest(token.encode(), 42)
+    return (value - (1 << 64) if value >> 63 else value) % buckets
 
 
 def phrase(postings: DataFrame, words: list[str], prefix: bool = False) -> DataFrame:
     """``(chunk_id, file_id)`` of the chunks that hold the tokens in a row; the last may be a prefix.
 
-    The postings of all tokens are read once; a start position is a hit if every place after it is filled.
+    The postings of all tokens are read once, of a stored index (with ``tok_bucket``) only their buckets, unless the last
+    is a prefix; a start position is a hit if every place after it is filled.
     """
     places = []
     for k, w in enumerate(words):
@@ -23,6 +31,9 @@ def phrase(postings: DataFrame, words: list[str], prefix: bool = False) -> DataF
         places.append(F.when(hit, F.lit(k)))
     wanted = reduce(lambda a, b: a | b, [F.startswith("tok", F.lit(w)) if prefix and k == len(words) - 1 else F.col("tok") == w for k, w in enumerate(words)])
     rows = postings.filter(wanted)
+    exact = words[:-1] if prefix else words
+    if "tok_bucket" in postings.columns and len(exact) == len(words):  # a stored index: read the tokens' buckets only
+        rows = rows.filter(F.col("tok_bucket").isin(sorted({bucket_of(w) for w in exact})))
     if len(words) == 1:
         return rows.select("chunk_id", "file_id").distinct()
     starts = rows.select("chunk_id", "file_id", "pos", F.explode(F.array_compact(F.array(*places))).alias("k"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +31,48 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def _middle(values) -> float:
+    return float(sorted(values)[len(values) // 2])
+
+
 def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
-    single = pdf[pdf.text.str.fullmatch(r"\D|\d{1,3}")].sort_values(["y", "x"])
-    groups: list[list] = []
-    for w in single.itertuples():
-        centre = w.x + w.w / 2
-        best = min((g for g in groups if abs(sum(m.x + m.w / 2 for m in g) / len(g) - centre) <= w.w * 0.6), key=lambda g: abs(sum(m.x + m.w / 2 for m in g) / len(g) - centre), default=None)
-        if best is not None and w.y - (best[-1].y + best[-1].h) <= 1.5 * best[-1].h:
-            best.append(w)
-        else:
-            groups.append([w])
-    stacked = sorted((g for g in groups if len(g) > 1), key=lambda g: g[0].x)
-    return pd.DataFrame([(pdf.image.iloc[0], i, "".join(m.text for m in g), float(g[0].x), float(g[0].y)) for i, g in enumerate(stacked)], columns=["image", "no", "text", "x", "y"])
+    """Words of one image. Going from left to right, a word joins the first column whose mean centre is within 0.6 of
+    the column's first height (or the word's, if larger); columns come in the order of their first words, and their
+    means in an array, so each word is one comparison of arrays. A column then breaks where the space below a word is
+    more than 1.5 times the height of the larger of the two words."""
+    text = pdf.text.fillna("").str.strip()
+    cells = pdf.assign(text=text, w=pdf.w.clip(lower=1), h=pdf.h.clip(lower=1))[text.str.fullmatch(r".|\d{1,3}")]
+    cells = cells.assign(cx=cells.x + (pdf.w / 2).loc[cells.index]).sort_values("cx", kind="stable")
+    means, sizes, counts, owner = np.zeros(len(cells)), np.zeros(len(cells)), np.zeros(len(cells), int), []
+    n = 0
+    for centre, height in zip(cells.cx, cells.h):
+        fits = np.nonzero(np.abs(means[:n] - centre) <= 0.6 * np.maximum(sizes[:n], height))[0]
+        at = int(fits[0]) if len(fits) else n
+        if at == n:
+            means[n], sizes[n], n = centre, height, n + 1
+        counts[at] += 1
+        means[at] += (centre - means[at]) / counts[at]
+        owner.append(at)
+    out = []
+    for at, column in cells.assign(owner=owner).groupby("owner"):
+        column = column.sort_values("y", kind="stable")
+        y, h = column.y.to_numpy(float), column.h.to_numpy(float)
+        breaks = np.nonzero(y[1:] - (y[:-1] + h[:-1]) > 1.5 * np.maximum(h[:-1], h[1:]))[0] + 1
+        for a, b in zip([0, *breaks], [*breaks, len(column)]):
+            if b - a > 1:
+                run, steps = column.iloc[a:b], np.diff(y[a:b])
+                height = _middle(h[a:b])
+                pitch = _middle(steps[steps > 0]) if (steps > 0).any() else 1.3 * height
+                out.append((pdf.image.iloc[0], "".join(run.text), means[at], y[a], _middle(run.w), height, pitch))
+    out.sort(key=lambda r: (r[2], r[3]))
+    return pd.DataFrame([(r[0], i, *r[1:]) for i, r in enumerate(out)], columns=["image", "no", "text", "x", "y", "char_width", "char_height", "pitch"])
 
 
 def vertical_columns(words: DataFrame) -> DataFrame:
-    """Words of one character (or one to three digits) stacked into columns, an image at a time."""
-    return words.select("image", "text", "x", "y", "w", "h").groupBy("image").applyInPandas(_columns, "image string, no int, text string, x double, y double")
+    """Words of one character (or one to three digits) stacked into columns, an image at a time: the column's text, mean
+    centre and top, and the upper medians of its characters' widths, heights and distances."""
+    schema = "image string, no int, text string, x double, y double, char_width double, char_height double, pitch double"
+    return words.select("image", "text", "x", "y", "w", "h").groupBy("image").applyInPandas(_columns, schema)
 
 
 def image_size(head: bytes) -> tuple[int, int] | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def scored(entries: DataFrame, tokens: list[str], options: q.SearchOptions, cont
     for token in tokens:
         exact = _hits(token)
         inside = F.coalesce(F.array_contains("terms", token), F.lit(False))
-        prepared = q.prepare_fuzzy(token) if options.fuzzy else None
-        near = ~exact & ~inside & contains_fuzzy(F.coalesce("name_compact", "name_norm"), prepared) if prepared else F.lit(False)
+        typos = options.fuzzy and q.may_have_typo(token)
+        near = ~exact & ~inside & contains_fuzzy(F.coalesce("name_compact", "name_norm"), token) if typos else F.lit(False)
         named = exact | near
         keep = keep & (named | inside)
         fuzzy = fuzzy | near | (inside & ~named & F.coalesce(F.array_contains("fuzzy_terms", token), F.lit(False)))
@@ -65,3 +67,28 @@ def merged(first: DataFrame, second: DataFrame, limit: int = q.PAGE) -> DataFram
     """Two sources' top rows, ordered again without the name."""
     both = first.unionByName(second, allowMissingColumns=True)
     return both.orderBy("fuzzy", F.col("score").desc(), "path").limit(limit)
+
+
+def in_mailboxes(mails: DataFrame, options: q.SearchOptions) -> DataFrame:
+    """The mails of the chosen ``account TAB folder`` keys; of all without a choice."""
+    return mails.filter(F.concat_ws("\t", "account", "folder").isin(options.mail_folders)) if options.mail_folders else mails
+
+
+def search(entries: DataFrame, mails: DataFrame, text: str, options: q.SearchOptions, content: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """The first rows of files and mails together, and the matches of each source that is asked for, for their totals.
+
+    ``source`` is ``pc``, ``mail`` or ``all``; scopes, kinds and extensions don't concern mails, and ``names_only``
+    leaves contents out.
+    """
+    tokens, content = q.tokenize(text), None if options.names_only else content
+    plain = replace(options, scopes=[], kind=None, extensions=[])
+    sources = [(entries, options)] * (options.source != "mail") + [(in_mailboxes(mails, options), plain)] * (options.source != "pc")
+    found = [scored(rows, tokens, o, content).withColumn("source", F.lit("pc" if o is options else "mail")) for rows, o in sources]
+    shown = [top(f, options) for f in found]
+    if len(shown) == 1:
+        return shown[0], found
+    both = shown[0].unionByName(shown[1], allowMissingColumns=True)
+    first = [F.col("fuzzy")]
+    if options.sort == "newest":
+        first.append((t.sort_time(F.col("time"), options.now_ms) if options.now_ms is not None else F.col("time")).desc_nulls_last())
+    return both.orderBy(*first, F.col("score").desc(), "path").limit(options.limit), found

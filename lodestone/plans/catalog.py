@@ -108,7 +108,7 @@ def text_runs(spark, sf):
 
 @_query(f"WITH RECURSIVE {POSTINGS} SELECT tok, count(DISTINCT chunk_id) AS doc FROM postings GROUP BY tok")
 def token_df(spark, sf):
-    return index.vocabulary(_index(spark, sf)["postings"])
+    return index.chunk_vocabulary(_chunks(spark, sf))
 
 
 @_query(
@@ -414,7 +414,7 @@ SELECT DISTINCT path FROM w WHERE damerau_levenshtein(s, 'smlal') <= 1"""
 )
 def fuzzy_name(spark, sf):
     rows = _parts(spark, sf)
-    return rows.filter(fuzzy.contains_fuzzy(F.coalesce("name_compact", "name_norm"), q.prepare_fuzzy("smlal"))).select("path")
+    return rows.filter(fuzzy.contains_fuzzy(F.coalesce("name_compact", "name_norm"), "smlal")).select("path")
 
 
 @_query(

@@ -111,13 +111,48 @@ def test_mail_incremental(spark):
 
 
 def test_vertical_columns(spark):
-    words = [("i", c, 100.0, 10.0 + 20 * k, 14.0, 14.0) for k, c in enumerate("아들홍")] + [("i", c, 60.0, 10.0 + 20 * k, 14.0, 14.0) for k, c in enumerate(["21", "세"])] + [("i", "정상적인 줄", 10.0, 200.0, 90.0, 14.0)]
-    df = spark.createDataFrame(words, "image string, text string, x double, y double, w double, h double")
-    assert [r.text for r in ocr.vertical_columns(df).orderBy("no").collect()] == ["21세", "아들홍"]
+    place = [("아", 100, 50), ("2", 330, 58), ("최", 460, 50), ("들", 100, 128), ("1", 330, 136), ("삼", 460, 128), ("홍", 100, 206), ("세", 330, 206)]
+    words = [("i", c, x, y, 50, 52) for c, x, y in place] + [("j", "장비", 0, 0, 50, 52), ("j", "설치", 60, 0, 50, 52), ("j", "확인서", 120, 0, 50, 52)]
+    words += [("k", c, 10 + 3 * n, 10 + 60 * n, 50, 52) for n, c in enumerate("가나다")] + [("k", "라", 16, 500, 50, 52), ("k", None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(words, "image string, text string, x int, y int, w int, h int")
+    got = ocr.vertical_columns(df).orderBy("image", "no").collect()
+    assert [(r.image, r.text) for r in got] == [("i", "아들홍"), ("i", "21세"), ("i", "최삼"), ("k", "가나다")]
+    assert (got[0].x, got[0].y, got[0].char_width, got[0].char_height, got[0].pitch) == (125.0, 50.0, 50.0, 52.0, 78.0)
+
+
+def test_sources_and_mailboxes(spark):
+    files = entries(spark, ("plan a", "D:\\x\\plan a", "file", "txt"), ("plan b", "D:\\y\\plan b", "file", "doc"))
+    mails = cat.with_keys(mail.entries(spark.createDataFrame([("m1", "me", "inbox", "plan mail", "s", "2024"), ("m2", "me", "sent", "plan too", "s", "2024")], "path string, account string, folder string, subject string, sender string, sent_at string")))
+
+    def names(**options):
+        shown, found = rank.search(files, mails, "plan", q.SearchOptions(**options))
+        return sorted(r.path for r in shown.collect()), [f.count() for f in found]
+
+    assert names() == (["D:\\x\\plan a", "D:\\y\\plan b", "m1", "m2"], [2, 2])
+    assert names(source="pc", extensions=["doc"]) == (["D:\\y\\plan b"], [1])
+    assert names(source="mail", extensions=["doc"], mail_folders=["me\tsent"]) == (["m2"], [1])
+    assert names(scopes=["D:/x"], mail_folders=["me\tinbox"]) == (["D:\\x\\plan a", "m1"], [1, 1])
+
+
+def test_stored_index_reads_the_buckets_of_its_tokens(spark, tmp_path):
+    ix = make_index(spark, *[f"common word number {i}" for i in range(40)], "rare word here")
+    index.write_index(ix["postings"], f"{tmp_path}/p", parts=3)
+    stored = spark.read.parquet(f"{tmp_path}/p")
+    for words, prefix in ((["rare", "word"], False), (["common"], False), (["number", "1"], True), (["nothing"], False)):
+        want = sorted(map(tuple, match.phrase(ix["postings"], words, prefix).collect()))
+        assert sorted(map(tuple, match.phrase(stored, words, prefix).select("chunk_id", "file_id").collect())) == want
+    assert {match.bucket_of(r.tok) == r.tok_bucket for r in stored.select("tok", "tok_bucket").distinct().collect()} == {True}
+    plan = match.phrase(stored, ["rare", "word"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [tok_bucket" in plan
+    assert sorted(map(tuple, index.vocabulary(ix["postings"]).collect())) == sorted(map(tuple, index.chunk_vocabulary(ix["chunks"]).collect()))
 
 
 def test_churn_and_excludes(spark):
     df = spark.createDataFrame([("/r/tmp/a", "a"), ("/r/b/node_modules", "node_modules"), ("/r/ex2/a", "a"), ("/r/ex/a", "a")], "path string, name string")
     assert [r.path for r in df.filter(cat.not_excluded(F.col("path"), F.col("name"), ["/R/ex"])).collect()] == ["/r/tmp/a", "/r/ex2/a"]
-    assert [r.path for r in df.filter(cat.is_churn(F.col("path"), ["/r"])).collect()] == ["/r/tmp/a"]
-    assert df.filter(cat.is_churn(F.col("path"), ["/r/tmp"])).count() == 0
+    rows = ["C:\\Users\\me\\AppData\\Local\\x", "C:\\Windows\\System32", "D:\\업무\\보고서", "D:\\tmp\\자료\\a", "D:\\tmp\\자료2", "D:\\logs\\a", "D:\\x\\Windows\\a", "/r/tmp"]
+    df = spark.createDataFrame([(r,) for r in rows], "path string")
+    churn = lambda *roots: [r.path for r in df.filter(cat.is_churn(F.col("path"), list(roots))).collect()]
+    assert churn("C:\\", "D:\\") == [rows[0], rows[1], rows[3], rows[4], rows[7]]
+    assert churn("D:\\tmp\\자료") == [rows[0], rows[1], rows[4], rows[7]]
+    assert churn("D:\\TMP\\", "/r/tmp") == rows[:2]
