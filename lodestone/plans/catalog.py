@@ -379,6 +379,37 @@ def merge_sources(spark, sf):
     return rank.merged(a, b).select("path", *_LONG("score"))
 
 
+@_query(
+    f"""WITH {MAILS}, mk AS (SELECT path, CASE WHEN subject = '' THEN '(no subject)' ELSE lower(subject) END AS name_norm, lower(path) AS path_norm, regexp_replace(lower(CASE WHEN subject = '' THEN '(no subject)' ELSE subject END), '[\\s_]+', '', 'g') AS name_compact, 'mail' AS kind FROM mails WHERE folder = 'user')
+SELECT path, ({_score('a')})::BIGINT AS score, 'mail' AS source FROM mk WHERE {_named('a')} ORDER BY score DESC, name_norm, path LIMIT 200"""
+)
+def source_mail(spark, sf):
+    o = q.SearchOptions(source="mail", mail_folders=["box\tuser"], extensions=["small"], kind="file")
+    shown, _ = rank.search(_parts(spark, sf), cat.with_keys(mail.entries(_mails(spark, sf))), "a", o)
+    return shown.select("path", *_LONG("score"), "source")
+
+
+@_query(
+    f"""WITH {PARTS}, {MAILS}, pc AS (SELECT path, ({_score('a')})::BIGINT AS score, 'pc' AS source FROM keyed WHERE {_named('a')} AND kind = 'file' ORDER BY score DESC, name_norm, path LIMIT 200),
+mk AS (SELECT path, CASE WHEN subject = '' THEN '(no subject)' ELSE lower(subject) END AS name_norm, lower(path) AS path_norm, regexp_replace(lower(CASE WHEN subject = '' THEN '(no subject)' ELSE subject END), '[\\s_]+', '', 'g') AS name_compact, 'mail' AS kind FROM mails),
+m AS (SELECT path, ({_score('a')})::BIGINT AS score, 'mail' AS source FROM mk WHERE {_named('a')} ORDER BY score DESC, name_norm, path LIMIT 200)
+SELECT * FROM (SELECT * FROM pc UNION ALL SELECT * FROM m) ORDER BY score DESC, path LIMIT 200"""
+)
+def source_all(spark, sf):
+    o = q.SearchOptions(kind="file")
+    shown, _ = rank.search(_parts(spark, sf), cat.with_keys(mail.entries(_mails(spark, sf))), "a", o)
+    return shown.select("path", *_LONG("score"), "source")
+
+
+@_query("SELECT p_partkey FROM part WHERE p_size % 5 IN (0, 2) AND p_size % 3 <> 0")
+def churn_filter(spark, sf):
+    """Volatile folders, but for the one that was chosen as a root."""
+    folder = F.element_at(F.array(*map(F.lit, ("Tmp", "logs", "AppData", "tmp2", "windows"))), (F.col("p_size") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("D:\\"), F.when(F.col("p_size") % 3 == 0, F.lit("tmp\\own\\")).otherwise(F.lit("other\\")), folder, F.lit("\\"), "p_name")
+    rows = table(spark, sf, "part").withColumn("path", path)
+    return rows.filter(cat.is_churn(F.col("path"), ["D:\\", "D:\\TMP\\own\\"])).select("p_partkey")
+
+
 # -- snippets ---------------------------------------------------------------------------------------------------------
 
 
@@ -631,4 +662,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from lodestone.sources import fixtures
+
+    return dict(_SQL) | fixtures.oracle_sql()

@@ -155,7 +155,74 @@ def queries():
 
     words = lambda spark, *w: spark.createDataFrame([(x,) for x in w], "word string")
     out = {f"extract_{k}": _extraction(k) for k in FILES}
+    out |= {name: _matching(term) for name, (term, _) in MATCHES.items()}
     out["loose_fold"] = _literal(lambda s: words(s, "전경애", "전경에", "전경어").select("word", t.loose_text(F.col("word")).alias("loose")))
     out["hanja_reading"] = _literal(lambda s: words(s, "全京愛", "金鍾煥", "서버").select("word", F.array_join(t.readings(F.col("word")), ",").alias("readings")))
     out["syllable_variants"] = _literal(lambda s: words(s, *q.syllable_variants("각")))
     return out
+
+
+def _values(columns: str, rows: list[tuple], kinds: str) -> str:
+    """SQL of literal rows; ``\\n`` in a text is a line end."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    body = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    picked = ", ".join(f"{c}::{k} AS {c}" for c, k in zip(columns.split(", "), kinds.split(", ")))
+    return f"SELECT {picked} FROM (VALUES {body}) v({columns})"
+
+
+def _extracted(kind: str, *chunks: tuple[str, str]) -> str:
+    rows = [(f"/fixtures/a.{kind}", "done", n, where, text) for n, (where, text) in enumerate(chunks)]
+    return _values("path, status, chunk_no, location, text", rows, "VARCHAR, VARCHAR, INTEGER, VARCHAR, VARCHAR")
+
+
+def oracle_sql() -> dict[str, str]:
+    """What the fixtures hold, written out: these queries read none of the driver's tables."""
+    inner = '"attachment":"inner note.eml"}'
+    return {
+        "extract_docx": _extracted("docx", ('{"page":1}', "first page"), ('{"page":2}', "second page")),
+        "extract_pptx": _extracted("pptx", ('{"slide":1}', "shown first"), ('{"slide":2}', "shown second")),
+        "extract_xlsx": _extracted("xlsx", ('{"sheet":"sheet","cell":"A1"}', "name | price"), ('{"sheet":"sheet","cell":"A2"}', "server | 100")),
+        "extract_hwpx": _extracted("hwpx", ('{"page":1}', "top\nbelow"), ('{"page":2}', "next page")),
+        "extract_hwp": _extracted("hwp", ('{"paragraph":1,"section":1}', "서버 구축\n둘째 문단")),
+        "extract_pdf": _extracted("pdf", ('{"page":1}', "hello one"), ('{"page":2}', "hello two")),
+        "extract_txt": _extracted("txt", ('{"line":1}', "서버")),
+        "extract_msg": _extracted("msg", ('{"mail":"header"}', "Subject: plan\nFrom:  <>\nTo: \nAttachments:"), ('{"mail":"body"}', "the body")),
+        "extract_eml": _extracted(
+            "eml",
+            ('{"mail":"header"}', "Subject: 견적서\nFrom: Kim <kim@example.com>\nTo: lee@example.com\nDate: Mon, 01 Jan 2024 09:00:00 +0900\nAttachments: note.docx, inner note.eml"),
+            ('{"mail":"body"}', "first line\nsecond line"),
+            ('{"attachment":"note.docx"}', "note.docx"),
+            ('{"paragraph":1,"attachment":"note.docx"}', "attached text"),
+            ("{" + inner, "inner note.eml"),
+            ('{"mail":"header",' + inner, "Subject: inner note\nFrom: a@example.com\nTo: b@example.com\nDate: \nAttachments:"),
+            ('{"mail":"body",' + inner, "nested body"),
+        ),
+        "loose_fold": _values("word, loose", [("전경애", "전경어"), ("전경에", "전경어"), ("전경어", "전경어")], "VARCHAR, VARCHAR"),
+        "hanja_reading": _values("word, readings", [("全京愛", "전경애"), ("金鍾煥", "금종환,김종환"), ("서버", "")], "VARCHAR, VARCHAR"),
+        "syllable_variants": "SELECT chr((44032 + (i * 21 + v) * 28 + t)::INTEGER) AS word FROM range(19) x(i), range(21) y(v), range(28) z(t) WHERE (i <> 0)::INTEGER + (v <> 0)::INTEGER + (t <> 1)::INTEGER = 1",
+        **{name: _values("file_id, text", [(i, SENTENCES[i]) for i in found], "BIGINT, VARCHAR") for name, (_, found) in MATCHES.items()},
+    }
+
+
+#: Texts of scripts written without spaces, and what a term finds in them; the ninth comes from OCR.
+SENTENCES = ("서버구축 안내", "서버의 상태", "설치 정보", "김치", "그는 21세 이다", "나이 21 그리고 세", "설치정보", "회장 全京愛", "전경어", "전경에 있다", "회원 金鍾煥", "설치_정보")
+MATCHES = {
+    "cjk_phrase_match": ("서버", (0, 1)),
+    "cjk_spacing_match": ("설치정보", (2, 6, 11)),
+    "cjk_char_match": ("치", (2, 3, 6, 11)),
+    "cjk_mixed_match": ("21세", (4,)),
+    "cjk_loose_match": ("전경애", (7, 8)),
+    "cjk_reading_match": ("김종환", (10,)),
+}
+
+
+def _matching(term: str):
+    def run(spark, sf_dir):
+        from lodestone.operators import index, match
+
+        files = spark.createDataFrame(list(enumerate(SENTENCES)), "file_id long, text string")
+        chunks = index.chunks(files)
+        stored = {"chunks": chunks, "postings": index.postings(chunks, with_readings=True), "chars": index.char_postings(chunks), "loose": index.loose_postings(chunks, F.col("file_id") == 8)}
+        return files.join(match.match_term(stored, term).select("file_id").distinct(), "file_id")
+
+    return run
