@@ -3,8 +3,12 @@
 Tests and texts become sequences of words, lower-cased and without punctuation around them. A text and a test that
 share a seed (``MIN_MATCH`` words in a row, joined by hash) are compared by running Karp-Rabin greedy string tiling:
 hashes of unmarked windows find the longest matches that overlap no marked word, these are marked as tiles, and the
-search goes on with shorter windows. As tiles may come in any order, a text that holds a test's passages rearranged is
-caught too. A test is contaminated by a text whose tiles cover at least ``COVERAGE`` of its words.
+search goes on, until no window of MIN_MATCH words is left. As tiles may come in any order, a text that holds a test's
+passages rearranged is caught too. A test is contaminated by a text whose tiles cover at least ``COVERAGE`` of its words.
+
+Hashes are sums of words times powers modulo 2^64, so the hash of any window comes from two running sums and a search
+length costs one pass over arrays, whatever repeats; the longest length is found by bisection. A text whose seeds lie in
+too few of a test's words is not tiled, as no tiling could cover more.
 
 Tests are read in blocks of at most BLOCK_WORDS words; a block's words and seeds are what is broadcast, so their size
 is bounded. Further blocks mean further passes over the texts. A test that alone exceeds the bound is its own block.
@@ -23,8 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_MATCH, COVERAGE, BLOCK_WORDS = 4, 0.6, 1_000_000
-#: Words of a text that one step works on; a text's candidate regions are cut out of it.
-STEP_WORDS = 1 << 18
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,68 +48,67 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class _Side:
+    """The words of one side, their running sums and their marks."""
+
+    def __init__(self, ids: list[int] | np.ndarray):
+        self.ids = np.asarray(ids, np.int64)
+        n = len(self.ids)
+        with np.errstate(over="ignore"):
+            mixed = (self.ids.astype(np.uint64) + np.uint64(1)) * _BASE
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            self.inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
+            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), _BASE)])[:n]
+            self.sums = np.r_[np.uint64(0), np.cumsum(mixed * powers, dtype=np.uint64)]
+        self.marked = np.zeros(n, bool)
+
+    def longest(self) -> int:
+        """The length of the longest stretch without a mark."""
+        ends = np.nonzero(np.r_[True, self.marked, True])[0]
+        return int(np.diff(ends).max()) - 1
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of the windows without a mark, and their hashes."""
+        taken = np.r_[0, np.cumsum(self.marked)]
+        free = np.nonzero(taken[width:] == taken[: len(taken) - width])[0] if width < len(taken) else np.zeros(0, np.int64)
+        return free, (self.sums[free + width] - self.sums[free]) * self.inverse[free]
+
+
 def tiles(text: list[int], test: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: ``(start in text, start in test, length)``, the longest first, none overlapping.
+    """Greedy string tiling: ``(start in text, start in test, length)``, none overlapping.
 
-    Running Karp-Rabin: windows of the search length that touch no mark are hashed on both sides; equal hashes are
-    compared word by word and extended. A match much longer than the search length restarts the search at its length;
-    else the matches are marked, longest first, and the search length falls.
+    The next tile is always the longest match of words without a mark; of several the first in the text, then in the
+    test. All tiles of one length are marked in one round as long as that order allows it.
     """
-    marked_a, marked_b = np.zeros(len(text) + 1, bool), np.zeros(len(test) + 1, bool)
-    a, b = np.array(text, np.int64), np.array(test, np.int64)
+    a, b = _Side(text), _Side(test)
     out: list[tuple[int, int, int]] = []
-    length = max(min_match, min(len(text), len(test), 4 * min_match))
+    most = min(len(a.ids), len(b.ids))
     while True:
-        longest, found = 0, []
-        table = defaultdict(list)
-        runs_b, runs_a = _free(marked_b, length), _free(marked_a, length)
-        hash_b, hash_a = window_hashes(b, length), window_hashes(a, length)
-        for j in runs_b:
-            table[int(hash_b[j])].append(int(j))
-        for i in runs_a:
-            for j in table.get(int(hash_a[i]), ()):
-                i0, k = int(i), 0
-                while i0 + k < len(text) and j + k < len(test) and text[i0 + k] == test[j + k] and not marked_a[i0 + k] and not marked_b[j + k]:
-                    k += 1
-                if k >= length:
-                    found.append((k, i0, j))
-                    longest = max(longest, k)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not (marked_a[i : i + k].any() or marked_b[j : j + k].any()):
-                marked_a[i : i + k] = True
-                marked_b[j : j + k] = True
-                out.append((i, j, k))
-        if length > 2 * min_match:
-            length = max(min_match, length // 2)
-        elif length > min_match:
-            length = min_match if not found else length - 1
-        else:
-            if not any(k >= length for k, *_ in found) or not _again(found, marked_a, marked_b, length):
-                return sorted(out, key=lambda x: -x[2])
-
-
-def _free(marked: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the windows without a mark; the array has one place more than there are words."""
-    n = len(marked) - 1 - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    total = np.r_[0, np.cumsum(marked[:-1])]
-    return np.nonzero(total[width:] - total[: n] == 0)[0]
-
-
-def _again(found: list, marked_a: np.ndarray, marked_b: np.ndarray, length: int) -> bool:
-    """Whether a match that was shortened by a tile still leaves a free window on both sides."""
-    for k, i, j in found:
-        free = ~(marked_a[i : i + k] | marked_b[j : j + k])
-        run = 0
-        for x in free:
-            run = run + 1 if x else 0
-            if run >= length:
-                return True
-    return False
+        low, high, found = min_match - 1, min(most, a.longest(), b.longest()), None
+        while low < high:
+            width = (low + high + 1) // 2
+            (at_a, hash_a), (at_b, hash_b) = a.windows(width), b.windows(width)
+            kinds, first = np.unique(hash_b, return_index=True)
+            place = np.minimum(np.searchsorted(kinds, hash_a), len(kinds) - 1)
+            same = kinds[place] == hash_a if len(kinds) else np.zeros(len(hash_a), bool)
+            if same.any():
+                low, found = width, (at_a[same], at_b[first[place[same]]])
+            else:
+                high = width - 1
+        if found is None:
+            return out
+        most, until = low, 0
+        for i, j in zip(*(x.tolist() for x in found)):
+            if i < until:
+                continue
+            if b.marked[j : j + low].any():
+                break  # these words may stand elsewhere in the test, too
+            if (a.ids[i : i + low] != b.ids[j : j + low]).any():
+                raise ValueError("two windows share a hash")
+            a.marked[i : i + low] = b.marked[j : j + low] = True
+            out.append((i, j, low))
+            until = i + low
 
 
 class Block:
@@ -164,29 +165,32 @@ class Block:
                 out.update(dict.fromkeys(self.seeds[width][h]))
         return {k: ids for k in out}
 
-    def judge(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(test, covered words, test's words, tiles)`` of every test that shares a seed with the text."""
+    def judge(self, text: str, coverage: float = 0.0) -> list[tuple[int, int, int, int]]:
+        """``(test, covered words, test's words, tiles)`` of the tests whose words the text's tiles cover so far."""
         out = []
         for k, ids in self.near(text).items():
-            test = self.sequences[k]
-            members = set(test)
-            inside = np.isin(ids, list(members))
-            keep = inside | np.r_[True, inside[:-1]]
-            own = np.where(inside, ids, 0)[keep]
+            test = np.array(self.sequences[k], np.int64)
             least = min(self.min_match, len(test))
-            found = tiles(own[self._around(own, test, least)].tolist(), test, least)
-            out.append((k, sum(x[2] for x in found), len(test), len(found)))
+            inside = np.isin(ids, test)
+            own = np.where(inside, ids, 0)[inside | np.r_[True, inside[:-1]]]
+            seeds, hashes = window_hashes(test, least), window_hashes(own, least)
+            if self._covered(np.isin(seeds, hashes), least, len(test)).sum() < coverage * len(test):
+                continue
+            # Only the words in some seed count; a run of others becomes one word that is in no test.
+            held = self._covered(np.isin(hashes, seeds), least, len(own))
+            found = tiles(np.where(held, own, 0)[held | np.r_[False, held[:-1]]], test, least)
+            covered = sum(x[2] for x in found)
+            if covered >= coverage * len(test):
+                out.append((k, covered, len(test), len(found)))
         return out
 
-    def _around(self, own: np.ndarray, test: list[int], least: int) -> np.ndarray:
-        """Places of the words that lie in a seed of this test, and one place after each run of them."""
-        seeds = np.unique(window_hashes(np.array(test, np.int64), least))
-        hit = np.isin(window_hashes(own, least), seeds)
-        inside = np.zeros(len(own), bool)
-        for k in range(least):
+    @staticmethod
+    def _covered(hit: np.ndarray, width: int, size: int) -> np.ndarray:
+        """The words that lie in a window that was hit."""
+        inside = np.zeros(size, bool)
+        for k in range(width):
             inside[k : k + len(hit)] |= hit
-        edge = np.r_[False, inside[:-1]] & ~inside
-        return np.nonzero(inside | edge)[0]
+        return inside
 
 
 def blocks(tests: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -219,7 +223,7 @@ def find_leaks(
     this text's tiles cover to at least ``coverage``.
 
     Null and empty texts leak nothing, and tests without a word are in no text. A test of fewer than ``min_match`` words
-    must occur whole. Rows, repeated rows and other columns are kept; an existing column ``out_col`` is replaced.
+    must occur whole. Long texts are worked on whole, in time about proportional to their length. Rows, repeated rows and other columns are kept; an existing column ``out_col`` is replaced.
     Without tests every array is empty. ``return_text=False`` leaves ``text_col`` null, so that no text comes back
     from Python.
     """
@@ -245,8 +249,8 @@ def find_leaks(
                 found, at = [], 0
                 while at < batch.num_rows:
                     for text in batch.column(place).slice(at, 512).to_pylist():
-                        hits = tests_here.judge(text) if text else []
-                        found.append([{"item_id": tests_here.ids[k], "covered": c, "words": n, "tiles": t} for k, c, n, t in sorted(hits) if c >= coverage * n])
+                        hits = tests_here.judge(text, coverage) if text else []
+                        found.append([{"item_id": tests_here.ids[k], "covered": c, "words": n, "tiles": t} for k, c, n, t in sorted(hits)])
                     at += 512
                 back = [pa.nulls(batch.num_rows, c.type) if blank and k == place else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays([*back, pa.array(found, typed)], [*names, "__more"])

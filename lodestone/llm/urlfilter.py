@@ -88,7 +88,6 @@ class GlobAutomaton:
                 w, b = bit(k)
                 self.loops[w] |= b
         self.arrive, self.accept = arrive, accept
-        self.ends_open = [p[-1:] == ["*"] for p in patterns]
 
     def run(self, symbols: list[np.ndarray]) -> np.ndarray:
         """A Boolean matrix (row, pattern); rows leave as they end, so the work is the symbols' number."""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -33,10 +34,47 @@ def brute_tiles(a, b, least):
 
 
 def test_tiles_cover_as_greedy_tiling_does():
-    random.seed(0)
-    for _ in range(200):
-        a, b = ([random.randint(1, 4) for _ in range(random.randint(0, n))] for n in (40, 25))
-        assert sum(t[2] for t in tiling.tiles(a, b, 3)) == brute_tiles(a, b, 3)
+    for seed in range(10_000):
+        rnd = random.Random(seed)
+        letters, least = rnd.randint(1, 6), rnd.randint(1, 4)
+        a, b = ([rnd.randint(1, letters) for _ in range(rnd.randint(0, n))] for n in (18, 12))
+        found = tiling.tiles(a, b, least)
+        assert sum(t[2] for t in found) == brute_tiles(a, b, least)
+        assert all(a[i : i + k] == b[j : j + k] and k >= least for i, j, k in found)
+        for side in (0, 1):
+            places = [x for t in found for x in range(t[side], t[side] + t[2])]
+            assert len(places) == len(set(places))
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    began = time.time()
+    assert sum(t[2] for t in tiling.tiles([1] * 300_000, [1] * 200, 4)) == 200
+    assert sum(t[2] for t in tiling.tiles([1, 2, 3, 2] * 80_000, [1, 2, 3, 2, 3, 2, 1] * 30, 4)) > 100
+    block = tiling.Block([(1, "so it goes on and on " * 40), (2, "never there at all")], 4)
+    assert [x[:3] for x in block.judge("on and on so it goes " * 40_000, 0.6)] == [(0, 240, 240)]
+    assert time.time() - began < 60
+
+
+def test_words_between_seeds_join_nothing():
+    block = tiling.Block([(1, "a b c d e f g h i j")], 4)
+    assert block.judge("a b c d x e f y g z h i j", 0.0) == [(0, 4, 10, 1)]
+    assert block.judge("a b c d e x c d e f y g h i j", 0.0)[0][:2] == (0, 9)
+    assert block.judge("a b c d x e f y", 0.6) == []
+
+
+def test_blocks_of_tests(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "BLOCK_WORDS", 12)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(8))) for k in range(5)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in items] + [(9, items[1][1] + " " + items[4][1])], "doc_id long, text string")
+    found = tiling.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found} == {0: [0], 1: [1], 2: [2], 3: [3], 4: [4], 9: [1, 4]}
+
+
+def test_symbols_of_all_planes():
+    text = "a한韓\uffff😀𝒳"
+    got = quality.codes([text], 1)[0].tolist()
+    assert got[:3] == [97, 0xD55C, 0x97D3] and len(set(got)) == len(got) and all(0 <= g < quality.SYMBOLS for g in got)
+    assert quality.BOS not in got and got[-1] == quality.EOS
 
 
 def test_leaks(spark):
