@@ -1,14 +1,14 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model's unit is the character (n-grams of ``ORDER`` symbols): words of open vocabularies are mostly unseen, their
-letters are not. An n-gram is one long, 12 bits a symbol.
+letters are not. An n-gram is one long, 16 bits a symbol.
 
 * Counts: every trusted document is read; each task adds up its n-grams in sorted arrays, and Spark sums them by code.
   Lower orders are continuation counts, a group of the order above. Discounts D1, D2, D3+ come from the counts of
   counts of each order.
-* Scoring by sharded count joins: each input file asks once for each distinct n-gram that its texts hold. The requests
-  meet the counts, sharded by code, order by order, and go back as a table of log probabilities for each file, which
-  the tasks that read that file load. Texts are never shuffled for this, and no task holds the whole model.
+* Scoring by sharded count joins: each input split asks once for each distinct n-gram that its texts hold. The requests
+  meet the counts, sharded by code, order by order, and go back as a table of log probabilities for each split,
+  which the task that reads that split loads. Texts are never shuffled for this, and no task holds the whole model.
 * Folds: a hash of its id gives each document one of FOLDS folds, and its perplexity comes from the counts of the
   trusted documents of the other folds, for a model flatters the texts that it was made from. All folds' models are
   made from one count, less the fold's own share, and go through the same joins.
@@ -32,10 +32,10 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import StageTables, fresh_path
+from .common import StageTables, bare_scan, fresh_path
 
-ORDER, BITS = 4, 12
-BOS, EOS, SYMBOLS = 4095, 4094, 4096
+ORDER, BITS = 4, 16
+BOS, EOS, SYMBOLS = 0xFFFF, 0xFFFE, 0x10000
 #: The share of trusted documents that a language's upper and lower thresholds leave outside.
 UPPER_TAIL, LOWER_TAIL, FOLDS = 0.004, 0.001, 5
 #: The trusted documents of a language that weigh as much as all languages do.
@@ -58,14 +58,15 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 def codes(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram code that ends at each character and at each text's end, and the number of them for each text.
 
-    Symbols are code points up to 2047, then one of 2046 classes of 32 neighbouring code points.
+    Symbols are the code points of the basic plane. Those beyond it share the 2,048 places that no character has there,
+    32 neighbours to a place.
     """
     sizes = np.array([len(t) + 1 for t in texts])
     pad = _START * (order - 1)
     raw = np.frombuffer("".join(f"{pad}{t}{_STOP}" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    high = raw >= 2048
+    high = raw >= EOS
     if high.any():
-        folded = 2048 + (raw[high] >> 5) % 2046
+        folded = 0xD800 + (raw[high] >> 5) % 2048
         folded[raw[high] == 0x10FFFF] = BOS
         folded[raw[high] == 0x10FFFE] = EOS
         raw[high] = folded
@@ -191,7 +192,7 @@ def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTabl
     """
     spark, order = docs.sparkSession, model.order
     fold = (F.lit(0) if fold is None else fold).cast("int")
-    docs = docs.drop("perplexity", "__chunk", "__fold").withColumns({"__chunk": F.xxhash64(F.input_file_name()), "__fold": fold})
+    docs = docs.drop("perplexity", "__chunk", "__fold").withColumns({"__chunk": F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.input_file_block_length()), "__fold": fold})
     asked = docs.select(F.coalesce(F.col(text_col), F.lit("")), "__chunk", "__fold").mapInArrow(_request_batches(order), "chunk long, fold int, code long").distinct()
     asked = tables.keep(asked, "kn-requests")
     scored = model.score(asked.select("fold", "code").distinct(), tables)
@@ -199,6 +200,7 @@ def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTabl
     answered = asked.join(scored, ["fold", "code"]).select("chunk", "fold", "code", F.log("p").cast("float").alias("logp"))
     answered.repartition("chunk").write.partitionBy("chunk").parquet(answers)
     tables.drop(asked)
+    tables.rest()
     names = [c for c in docs.columns if c not in ("__chunk", "__fold")]
     place, chunk_at, fold_at = (docs.columns.index(c) for c in (text_col, "__chunk", "__fold"))
 
@@ -251,7 +253,7 @@ def classify(
     spark = docs.sparkSession
     tables = StageTables(spark)
     docs = docs.drop("perplexity", "low", "high", "keep")
-    if not docs.inputFiles():
+    if not bare_scan(docs):  # else a row's input split is known
         docs = tables.keep(docs, "quality-docs")
     ids = trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct()
     fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FOLDS)).cast("int")
