@@ -399,6 +399,29 @@ def extract_files(files: DataFrame) -> DataFrame:
     return files.select("path", "length", data.alias("content")).mapInPandas(run, CHUNK)
 
 
+def extract_paths(files: DataFrame) -> DataFrame:
+    """Chunk rows of listed files ``(path, size)``; each is read where it is extracted, beyond MAX_FILE not at all."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .listing import _local
+
+        columns = [c.split()[0] for c in ("path", "status", "error", "chunk_no", "location", "text", "marks")]
+        for frame in frames:
+            for row in frame.itertuples():
+                data = b""
+                try:
+                    if 0 < row.size <= MAX_FILE:
+                        system, place = _local(row.path)
+                        with system.open_input_file(place) as f:
+                            data = f.read()
+                    rows = list(extract_one(row.path, data, row.size))
+                except OSError as e:
+                    rows = [{"path": row.path, "status": "error", "error": f"{type(e).__name__}: {e}"[:500], "chunk_no": None, "location": None, "text": None, "marks": None}]
+                yield pd.DataFrame(rows, columns=columns).astype({"chunk_no": "Int32"})
+
+    return files.select("path", "size").mapInPandas(run, CHUNK)
+
+
 def attachment_names(names: list[str], limit: int = 150) -> list[str]:
     """Names that a file system takes: no reserved characters, cut, and numbered when they repeat."""
     out, seen = [], set()
