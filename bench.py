@@ -26,13 +26,16 @@ def main() -> None:
         done[name] = round(time.time() - began, 3)
 
     spark.range(1000).groupBy().count().collect()
+    timed("name_search_cold", lambda: queries["name_search"](spark, sf_dir))  # with the start of Python workers
     for name in HEADLINE:
         timed(name, lambda: queries[name](spark, sf_dir))
     # The index as the engine keeps it: written once by token bucket, then searched.
     place = tempfile.mkdtemp(prefix="bench-index-")
     began = time.time()
     chunks = index.chunks(catalog._files(spark, sf_dir))
-    index.write_index(index.postings(chunks), f"{place}/postings", 16)
+    chunks.write.parquet(f"{place}/chunks")
+    chunks = spark.read.parquet(f"{place}/chunks")
+    index.write_index(index.postings(chunks), f"{place}/postings", parts=1)
     done["index_build"] = round(time.time() - began, 3)
     stored = {"postings": spark.read.parquet(f"{place}/postings"), "chunks": chunks}
     timed("warm_phrase", lambda: match.phrase(stored["postings"], ["of", "the"]))
