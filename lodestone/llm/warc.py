@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import StageTables, fresh_path
 
-#: Bytes of payload in a chunk, and the least size at which equal payloads become revisits.
-CHUNK_BYTES, REVISIT_BYTES = 256 * 1024, 1000
+#: Bytes of payload in a chunk, the least size at which equal payloads become revisits, and bytes of a header at most.
+CHUNK_BYTES, REVISIT_BYTES, MOST_HEADER = 256 * 1024, 1000, 1 << 20
 CHUNKS = "archive string, record_id string, record_type string, target_uri string, refers_to string, chunk_no long, data binary, payload_bytes long, payload_digest string, declared_digest string, last boolean"
 
 
@@ -129,7 +129,12 @@ class _Inflated:
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        while (at := self.rest.find(mark)) < 0:
+        """What comes before ``mark``, which is taken too; None at the end of the file. A header has MOST_HEADER bytes."""
+        seen = 0
+        while (at := self.rest.find(mark, seen)) < 0:
+            seen = max(0, len(self.rest) - len(mark) + 1)
+            if len(self.rest) > MOST_HEADER:
+                raise ValueError("a header does not end")
             if not self.more():
                 return None
         found, self.rest = self.rest[:at], self.rest[at + len(mark) :]
@@ -211,7 +216,7 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data:
     return manifest.select("archive").mapInArrow(run, schema)
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
+def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", with_data: bool = True) -> DataFrame:
     """Writes archives of all rows, reads them back and returns their chunked record table.
 
     Null payloads are empty. Rows that share an id and a payload of at least REVISIT_BYTES are both responses. An empty
@@ -221,7 +226,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url
     planned = plan_records(pages.select(id_col, uri_col, payload_col), id_col, payload_col, StageTables(spark))
     manifest = write_archives(planned, fresh_path(spark, "warc"), id_col, uri_col, payload_col)
     files = manifest.count()
-    return read_chunks(manifest.repartition(max(1, files)), with_data=False)
+    return read_chunks(manifest.repartition(max(1, files)), with_data=with_data)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,9 @@ def test_warc_round_trip(spark):
         assert digest == hashlib.sha1(data).hexdigest() and r.declared_bytes == len(data)
         assert r.record_type == ("revisit" if i == 1 else "response")
     assert last[1].refers_to_page == 5 and last[5].chunk_no > 0
+    parts = chunks.filter("page_id = 5").orderBy("chunk_no").collect()
+    assert b"".join(bytes(r.data) for r in parts) == big.encode() and len(parts) > 1 and "data" in chunks.columns
+    assert all(r.data is None for r in warc.archive_pages(pages, with_data=False).collect())
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
@@ -58,6 +61,8 @@ def test_warc_parse_is_chunked_and_strict():
         assert [len(r["data"]) for r in rows] == [4, 4, 2] * 2 and rows[2]["payload_digest"] == hashlib.sha1(b"0123456789").hexdigest()
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(record[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(b"WARC/1.1\r\n" + b"x" * 3_000_000)))
 
 
 def test_chunks_resist_insertions():
