@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": warc.OP3_SQL,
         "op4_hamming": hamming.OP4_SQL,
         "op8_urlfilter": urlfilter.OP8_SQL,
+        "op9_secrets": secrets.OP9_SQL,
     }

@@ -316,3 +316,27 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("secret_spans")).alias("spans"),
     )
+
+
+def _rule_sql(order: int, rule: Rule) -> str:
+    """The spans of one rule: pieces between matches and matches, summed up to each match."""
+    pattern = rule.pattern.replace("'", "''")
+    lists = f"regexp_extract_all(s, '{pattern}', 0) AS f, string_split_regex(s, '{pattern}') AS g, regexp_extract_all(s, '{pattern}', {rule.group}) AS j"
+    rows = f"SELECT doc_id, unnest(f) AS f, unnest(g[:len(f)]) AS g, unnest(j) AS j, unnest(range(len(f))) AS i FROM (SELECT doc_id, {lists} FROM t)"
+    at = f"SELECT doc_id, length(f) AS size, length(j) AS judged, (sum(length(g) + length(f)) OVER (PARTITION BY doc_id ORDER BY i) - length(f))::BIGINT AS start FROM ({rows})"
+    return f"SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, start, start + size AS stop FROM ({at}) WHERE judged >= {rule.least}"
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+m AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(RULES))}),
+a AS (
+  SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+  FROM m GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)
+"""
