@@ -146,7 +146,7 @@ class Engine:
         state = rows.groupBy("path").agg(F.first("status").alias("status"), F.first("error").alias("error"))
         files = todo.join(state, "path").select("file_id", "path", "size", "modified_at", "status", "error", F.col("wanted").alias("extractor"))
         chunks = rows.filter("chunk_no IS NOT NULL").join(todo.select("path", "file_id"), "path")
-        chunks = chunks.select((F.col("file_id") * index.CHUNK_SHIFT + F.col("chunk_no")).alias("chunk_id"), "file_id", "chunk_no", "location", "text", "marks")
+        chunks = chunks.select(index.chunk_id().alias("chunk_id"), "file_id", "chunk_no", "location", "text", "marks")
         if stays is not None:
             files = files.unionByName(stays.select(*files.columns))
             chunks = chunks.unionByName(old_chunks.join(stays.select("file_id"), "file_id", "left_semi").select(*chunks.columns))

@@ -37,9 +37,18 @@ def chunk_lines(text: Column, limit: int = CHUNK_CHARS) -> Column:
 
 
 def chunks(files: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
-    """``(chunk_id, file_id, chunk_no, text, marks)``; a chunk's id tells its file by arithmetic."""
+    """``(chunk_id, file_id, chunk_no, text, marks)``; a chunk's id tells its file by arithmetic.
+
+    A file of more than CHUNK_SHIFT chunks (some 800 MB of text) is refused, as its ids would run into the next file's.
+    """
     out = files.select(F.col(id_col).alias("file_id"), F.posexplode(chunk_lines(F.col(text_col))).alias("chunk_no", "c"))
-    return out.select((F.col("file_id") * CHUNK_SHIFT + F.col("chunk_no")).alias("chunk_id"), "file_id", F.col("chunk_no").cast("int").alias("chunk_no"), "c.text", "c.marks")
+    return out.select(chunk_id().alias("chunk_id"), "file_id", F.col("chunk_no").cast("int").alias("chunk_no"), "c.text", "c.marks")
+
+
+def chunk_id() -> Column:
+    """The id of a chunk, from ``file_id`` and ``chunk_no``."""
+    whole = F.col("file_id") * CHUNK_SHIFT + F.col("chunk_no")
+    return F.when(F.col("chunk_no") < CHUNK_SHIFT, whole).otherwise(F.raise_error(F.lit("a file has too many chunks")).cast("long"))
 
 
 def postings(chunk_table: DataFrame, fold: bool = True, with_readings: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ from lodestone.operators.catalog import compact_log
 
 
 def state_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder."""
+    """A fresh folder in the shared checkpoint folder, or in a temporary one where none is set (local sessions only)."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{shared.rstrip('/')}/watch-{uuid.uuid4().hex}"
 
 
