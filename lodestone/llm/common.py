@@ -59,10 +59,12 @@ class StageTables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self.written: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
         df.write.parquet(path)
+        self.written.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._stage_path = path
@@ -72,6 +74,15 @@ class StageTables:
         for df in frames:
             delete_path(self.spark, df._stage_path)
 
+    def drop_others(self, *frames: DataFrame) -> None:
+        """Remove all tables written so far but those given, which nothing but tables may come from any more."""
+        stay = {df._stage_path for df in frames}
+        for path in self.written:
+            if path not in stay:
+                delete_path(self.spark, path)
+        self.written = sorted(stay)
+        self.rest()
+
     def rest(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver's heap fills up."""
         gc.collect()

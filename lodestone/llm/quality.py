@@ -199,6 +199,7 @@ def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTabl
     answers = fresh_path(spark, "kn-answers")
     answered = asked.join(scored, ["fold", "code"]).select("chunk", "fold", "code", F.log("p").cast("float").alias("logp"))
     answered.repartition("chunk").write.partitionBy("chunk").parquet(answers)
+    tables.written.append(answers)
     tables.drop(asked)
     tables.rest()
     names = [c for c in docs.columns if c not in ("__chunk", "__fold")]
@@ -259,6 +260,7 @@ def classify(
     fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FOLDS)).cast("int")
     model = Model(docs.select(id_col, text_col).join(ids.hint("shuffle_hash"), id_col, "left_semi").withColumn("__fold", fold), text_col, tables, order, "__fold")
     scored = tables.keep(perplexities(docs, model, text_col, tables, fold), "quality-scored")
+    tables.drop_others(scored)
     known = scored.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), "perplexity").join(ids.hint("shuffle_hash"), id_col, "left_semi")
     x = F.log("perplexity")
     ends = F.percentile_approx(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.lit(10_000))
