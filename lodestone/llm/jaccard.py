@@ -238,10 +238,11 @@ def _pivot_pairs(posts: DataFrame, fingerprint_links: Callable, tables: StageTab
     return apart.unionByName(same)
 
 
-def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, tables: StageTables) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, tables: StageTables, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b)``: links that keep every component of the graph of pairs at 0.8, and the components' ``(node, label)``.
 
-    ``docs(node, text)`` are all rows, ``signed(node, n, fp, first)`` those that take part.
+    ``docs(node, text)`` are all rows, ``signed(node, n, fp, first)`` those that take part; ``source``, the stage table
+    that they come from, goes as soon as it has been used.
     """
     spark = docs.sparkSession
     posts = signed.select("node", "n", F.posexplode("first").alias("at", "gram"))
@@ -253,6 +254,8 @@ def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, table
     near = shared.filter(p.isNotNull() & possible(p["n"], p["at"], F.col("n"), F.col("at")))
     near = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"))
     near = tables.keep(near.unionByName(_pivot_pairs(signed.select("node", "fp"), fingerprint_links, tables)).distinct(), "jaccard-near")
+    tables.drop(source)
+    tables.rest()
     edges = _check(near, docs, tables, "jaccard-links")
     labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
     dealt = shared.select("gram", "n", "at", "node").join(labels, "node", "left").select("gram", "n", "at", "node", F.coalesce("label", "node").alias("label"))
@@ -290,9 +293,9 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint_links: Ca
     if total != nodes:
         raise ValueError("two rows have one number: write the table in other files")
     one = signed.join(least.select(F.col("key.node").alias("node")).hint("shuffle_hash"), "node", "left_semi")
-    _, labels = links(texts, one, fingerprint_links, tables)
+    _, labels = links(texts, one, fingerprint_links, tables, signed)
     known = least.select("key", F.col("key.node").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     stay = tables.keep(known.groupBy("label").agg(F.min("key").alias("key")).select("key.node"), "jaccard-stay")
-    tables.drop(signed, least)
+    tables.drop(least)
     tables.rest()
     return rows.join(stay.hint("shuffle_hash"), F.col("__node") == F.col("node"), "left_semi").select(*names)
