@@ -295,7 +295,7 @@ def kept_rows(docs: DataFrame, id_col: str, text_col: str, fingerprint_links: Ca
     one = signed.join(least.select(F.col("key.node").alias("node")).hint("shuffle_hash"), "node", "left_semi")
     _, labels = links(texts, one, fingerprint_links, tables, signed)
     known = least.select("key", F.col("key.node").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    stay = tables.keep(known.groupBy("label").agg(F.min("key").alias("key")).select("key.node"), "jaccard-stay")
+    stay = tables.keep(known.groupBy("label").agg(F.min("key").alias("key")).select(F.col("key.node").alias("__stays")), "jaccard-stay")
     tables.drop(least)
     tables.rest()
-    return rows.join(stay.hint("shuffle_hash"), F.col("__node") == F.col("node"), "left_semi").select(*names)
+    return rows.join(stay.hint("shuffle_hash"), F.col("__node") == F.col("__stays"), "left_semi").select(*names)
