@@ -6,13 +6,16 @@ the others, and none is missed:
 
 1. Texts that are equal up to case and white space collapse; only the least row of each goes on.
 2. Prefix filter: with any one order of all shingles, two sets that are similar enough share a shingle among the first
-   n - ceil(0.8 n) + 1 of each. The order is by hash, but shingles that more than COMMON prefixes of one task hold at
+   n - ceil(0.8 n) + 1 of each. The order is by hash, but shingles that more than COMMON texts of one task hold at
    least come last, the commonest at the very end. The order decides how many candidates there are, never which links
    are found.
 3. Pairs of the pivot tables, and neighbours by size in the bucket of a shingle, are verified first, which joins a large
    group of copies by a line for each member and bucket. Then every pair of a bucket that isn't yet in one component is
    verified, if sizes and places in the order leave 0.8 possible.
-4. Verification counts the common shingles of both whole sets; 9 common >= 4 (n + m) is similarity >= 0.8 in integers.
+4. A bucket of more than WIDE members, whose pairs would grow with its square, is not paired. Its members get a second
+   order instead, the exact number of them that hold each shingle, rarest first (``rare_posts``), so texts below 0.8 mostly
+   fill their prefixes with what they don't share. Two members of a wide bucket are both among them, so no link is lost.
+5. Verification counts the common shingles of both whole sets; 9 common >= 4 (n + m) is similarity >= 0.8 in integers.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import StageTables, bare_scan, components
 
-WORDS, COMMON = 5, 4
+WORDS, COMMON, WIDE = 5, 2, 64
 #: Pairs that a step of the pairing holds, words whose hashes a task remembers, and shingles that it counts at once.
-STEP_PAIRS, KNOWN_WORDS, HELD_GRAMS = 1 << 20, 1 << 19, 4_000_000
+STEP_PAIRS, KNOWN_WORDS, HELD_GRAMS = 1 << 18, 1 << 17, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -85,11 +88,11 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(at, 256), at, batch.column(column).slice(at, 256).to_pylist()
 
 
-def _prefix_grams(least: int):
-    """The shingles in more than ``least`` prefixes of a task, or of HELD_GRAMS shingles of it, and their number."""
+def _often_grams(least: int):
+    """The shingles in more than ``least`` texts of a task, or of HELD_GRAMS shingles of it, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, none, held, size = _Hashes(), np.zeros(0, np.int64), [], 0
+        known, held, size = _Hashes(), [], 0
 
         def flush() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -97,7 +100,7 @@ def _prefix_grams(least: int):
             return pa.RecordBatch.from_arrays([pa.array(grams[often]), pa.array(counts[often].astype(np.int64))], ["gram", "c"])
 
         for _, _, texts in _slices(batches, 0):
-            held += [prefix(shingles(split(t), known), none, none) for t in texts]
+            held += [shingles(split(t), known) for t in texts]
             size += sum(map(len, held[-len(texts) :]))
             if size > HELD_GRAMS:
                 yield flush()
@@ -149,6 +152,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
 
+def _node_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) become a row (node, n, gram) for each shingle, n of them."""
+    known = _Hashes()
+    for part, _, texts in _slices(batches, 1):
+        nodes = part.column(0).to_numpy()
+        for at in range(0, len(texts), 16):
+            grams = [shingles(split(t), known) for t in texts[at : at + 16]]
+            sizes = np.array([len(g) for g in grams])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at : at + 16], sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(grams))], ["node", "n", "gram"])
+
+
 def possible(n, at, m, there):
     """Whether sets of n and m shingles that share those at places ``at`` and ``there`` first can reach 0.8."""
     rest = np.minimum(n - at, m - there) if isinstance(n, np.ndarray) else F.least(n - at, m - there)
@@ -186,8 +200,10 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def paired(block: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a, b in bucket_pairs(*block.T):
             if len(a):
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+                by = np.lexsort((b, a))
+                a, b = a[by], b[by]
+                first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
     for batch in batches:
         block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
@@ -204,11 +220,11 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def common_shingles(docs: DataFrame, least: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are in more than ``least`` prefixes of some task, sorted, and their places in the order.
+    """The shingles that are in more than ``least`` texts of some task, sorted, and their places in the order.
 
     The driver takes the commonest million at most; the others keep their place by hash, which costs candidates only.
     """
-    counted = docs.select("text").mapInArrow(_prefix_grams(least), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    counted = docs.select("text").mapInArrow(_often_grams(least), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     rows = counted.orderBy(F.desc("c"), "gram").limit(1_000_000).toPandas()
     gram, c = rows["gram"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
     by = np.argsort(gram)
@@ -238,6 +254,24 @@ def _pivot_pairs(posts: DataFrame, fingerprint_links: Callable, tables: StageTab
     return apart.unionByName(same)
 
 
+def rare_posts(docs: DataFrame, nodes: DataFrame, tables: StageTables) -> DataFrame:
+    """``(gram, n, at, node)``: the prefixes of ``nodes(node)`` in the order of the number of them that hold a shingle.
+
+    Shingles of one node come first and meet nothing, so only their number counts.
+    """
+    texts = docs.select("node", "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
+    grams = tables.keep(texts.mapInArrow(_node_grams, "node long, n int, gram long"), "jaccard-grams")
+    often = tables.keep(grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-often")
+    by = Window.partitionBy("node")
+    held = grams.join(often, "gram").withColumns({"rank": F.row_number().over(by.orderBy("c", "gram")), "held": F.count("*").over(by)})
+    held = held.withColumn("at", (F.col("n") - F.col("held") + F.col("rank") - 1).cast("int"))
+    size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
+    posts = tables.keep(held.filter(F.col("at") < size).select("gram", "n", "at", "node"), "jaccard-rare")
+    tables.drop(grams, often)
+    tables.rest()
+    return posts
+
+
 def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, tables: StageTables, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b)``: links that keep every component of the graph of pairs at 0.8, and the components' ``(node, label)``.
 
@@ -259,9 +293,18 @@ def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, table
     edges = _check(near, docs, tables, "jaccard-links")
     labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
     dealt = shared.select("gram", "n", "at", "node").join(labels, "node", "left").select("gram", "n", "at", "node", F.coalesce("label", "node").alias("label"))
-    dealt = dealt.repartition("gram").sortWithinPartitions("gram", "label")
+    open_ones = dealt.groupBy("gram").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    dealt = tables.keep(dealt.join(tables.keep(open_ones.select("gram", "c"), "jaccard-open"), "gram"), "jaccard-dealt")
+    tables.drop(shared)
+    wide = tables.keep(dealt.filter(F.col("c") > WIDE).select("node", "label").distinct(), "jaccard-wide")
+    dealt = dealt.filter(F.col("c") <= WIDE).drop("c")
+    if not wide.isEmpty():
+        rare = rare_posts(docs, wide.select("node"), tables).join(wide, "node")
+        # Buckets of the two orders stay apart.
+        dealt = dealt.unionByName(rare.withColumn("gram", F.bitwise_not("gram")))
+    dealt = dealt.select("gram", "n", "at", "node", "label").repartition("gram").sortWithinPartitions("gram", "label")
     rest = tables.keep(dealt.mapInArrow(_pair_batches, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "jaccard-rest")
-    tables.drop(shared, near)
+    tables.drop(near)
     tables.rest()
     more = _check(rest, docs, tables, "jaccard-more")
     edges = edges.unionByName(more)

@@ -85,3 +85,43 @@ def test_bucket_pairs_in_steps(monkeypatch):
         monkeypatch.setattr(jaccard, "STEP_PAIRS", step)
         got = [p for a, b in jaccard.bucket_pairs(gram, same, same * 0, node, label) for p in zip(a.tolist(), b.tolist())]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_wide_buckets_are_dealt_by_a_second_order(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(60):  # one base, two texts in three below 0.8 from each other
+        at = rng.randrange(160)
+        text = base[:at] + [word() for _ in range(rng.choice([2, 30, 40]))] + base[at + 40 :]
+        rows += [" ".join(text), " ".join(text[:-1] + ["edit"])]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keep, made = jaccard.StageTables.keep, {}
+
+    def noted(self, frame, name):
+        out = keep(self, frame, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.StageTables, "keep", noted)
+    proposed = {}
+    for wide in (4, 10**9):
+        monkeypatch.setattr(jaccard, "WIDE", wide)
+        made.clear()
+        got = jaccard.kept_rows(df, "doc_id", "text", lambda fps, tables: simhash.links(fps, tables), common=10**6)
+        assert {r.doc_id for r in got.collect()} == brute(rows)
+        proposed[wide] = made["jaccard-near"] + made["jaccard-rest"]
+    print(proposed)
+    assert 2 * proposed[4] < proposed[10**9]
+
+
+def test_few_edges_on_the_driver_equal_the_star_steps(spark):
+    from lodestone.llm.common import StageTables, components
+
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = [{(r.node, r.label) for r in components(spark, df, StageTables(spark), few).collect()} for few in (0, 10**6)]
+    assert found[0] == found[1] and len(found[0]) > 300
+    assert components(spark, df.filter("a = b"), StageTables(spark)).count() == 0
