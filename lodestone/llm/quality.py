@@ -145,6 +145,8 @@ class Model:
             table = whole.select("code", others.alias("x")).select("x.fold", "code", "x.c").filter("c > 0")
         for n in range(order, 0, -1):
             table = self.levels[n] = tables.keep(table, f"kn-counts{n}")
+            if n == order:
+                tables.rest()  # the trusted texts were shuffled for it
             rows = {r[0]: r[1:] for r in table.groupBy("fold").agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).collect()}
             self.discount[n] = [discounts(*rows.get(k, (0, 0, 0, 0))) for k in range(folds)]
             d1, d2, d3 = self._cuts(n)
@@ -185,10 +187,10 @@ class Model:
         return low
 
 
-def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTables, fold: Column | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTables, fold: Column | None = None, with_text: bool = True) -> DataFrame:
     """``docs`` with ``perplexity``: exp of the mean negative log probability over characters and the text's end.
 
-    ``fold`` is the number of the model that judges a row, 0 by default.
+    ``fold`` is the number of the model that judges a row, 0 by default. Without ``with_text`` the texts are left out.
     """
     spark, order = docs.sparkSession, model.order
     fold = (F.lit(0) if fold is None else fold).cast("int")
@@ -202,7 +204,9 @@ def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTabl
     tables.written.append(answers)
     tables.drop(asked)
     tables.rest()
-    names = [c for c in docs.columns if c not in ("__chunk", "__fold")]
+    out_of = {"__chunk", "__fold"} | (set() if with_text else {text_col})
+    stays = [k for k, c in enumerate(docs.columns) if c not in out_of]
+    names = [docs.columns[k] for k in stays]
     place, chunk_at, fold_at = (docs.columns.index(c) for c in (text_col, "__chunk", "__fold"))
 
     def load(chunk: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -228,10 +232,10 @@ def perplexities(docs: DataFrame, model: Model, text_col: str, tables: StageTabl
                 if (keys[spot] != grams).any():
                     raise ValueError("the input changed between two reads")
                 out[mine] = np.exp(-np.add.reduceat(logs[spot].astype(np.float64), np.r_[0, np.cumsum(sizes)[:-1]]) / sizes)
-            kept = [c.slice(at, len(texts)) for k, c in enumerate(batch.columns) if k not in (chunk_at, fold_at)]
+            kept = [batch.column(k).slice(at, len(texts)) for k in stays]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], [*names, "perplexity"])
 
-    return docs.mapInArrow(run, docs.drop("__chunk", "__fold").withColumn("perplexity", F.lit(None).cast("double")).schema)
+    return docs.mapInArrow(run, docs.drop(*out_of).withColumn("perplexity", F.lit(None).cast("double")).schema)
 
 
 def classify(
@@ -244,12 +248,14 @@ def classify(
     lower_tail: float = LOWER_TAIL,
     prior: float = PRIOR,
     order: int = ORDER,
+    with_text: bool = True,
 ) -> DataFrame:
     """``docs`` with ``perplexity``, ``low``, ``high`` (its language's thresholds) and ``keep``.
 
     ``trusted`` has the ids of trusted documents in ``id_col``; ids without a document don't matter. Null texts are
     empty. A null language is one of its own. With no trusted document at all every row is kept. Rows, repeated rows
-    and other columns are kept; existing columns of the four names are replaced. Thresholds are inclusive.
+    and other columns are kept; existing columns of the four names are replaced. Thresholds are inclusive. Without
+    ``with_text`` the texts are not written to a stage table and are left out of the result.
     """
     spark = docs.sparkSession
     tables = StageTables(spark)
@@ -259,7 +265,7 @@ def classify(
     ids = trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct()
     fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(FOLDS)).cast("int")
     model = Model(docs.select(id_col, text_col).join(ids.hint("shuffle_hash"), id_col, "left_semi").withColumn("__fold", fold), text_col, tables, order, "__fold")
-    scored = tables.keep(perplexities(docs, model, text_col, tables, fold), "quality-scored")
+    scored = tables.keep(perplexities(docs, model, text_col, tables, fold, with_text), "quality-scored")
     tables.drop_others(scored)
     known = scored.select(id_col, F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), "perplexity").join(ids.hint("shuffle_hash"), id_col, "left_semi")
     x = F.log("perplexity")
@@ -291,4 +297,4 @@ def trusted_ids(spark, sf_dir: str) -> DataFrame:
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return classify(docs, trusted_ids(spark, sf_dir)).drop("text")
+    return classify(docs, trusted_ids(spark, sf_dir), with_text=False)

@@ -35,3 +35,15 @@ def test_a_fold_leaves_its_own_documents_out(spark, tmp_path):
         alone = quality.Model(docs.filter(F.col("f") != k), "text", tables)
         want = {r.doc_id: r.perplexity for r in quality.perplexities(docs, alone, "text", tables).collect()}
         assert all(math.isclose(r.perplexity, want[r.doc_id], rel_tol=1e-6) for r in got if r.f == k)
+
+
+def test_query_writes_no_texts(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    keep, wrote = quality.StageTables.keep, {}
+    monkeypatch.setattr(quality.StageTables, "keep", lambda self, df, name: wrote.setdefault(name, df.columns) and keep(self, df, name))
+    got = quality.op10_query(spark, sf)
+    assert not [n for n, columns in wrote.items() if "text" in columns]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    whole = quality.classify(docs, quality.trusted_ids(spark, sf))
+    assert whole.columns == ["doc_id", "lang", "text", "perplexity", "low", "high", "keep"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.drop("text").collect()))
