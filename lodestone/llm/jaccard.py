@@ -12,9 +12,14 @@ the others, and none is missed:
 3. Pairs of the pivot tables, and neighbours by size in the bucket of a shingle, are verified first, which joins a large
    group of copies by a line for each member and bucket. Then every pair of a bucket that isn't yet in one component is
    verified, if sizes and places in the order leave 0.8 possible.
-4. A bucket of more than WIDE members, whose pairs would grow with its square, is not paired. Its members get a second
-   order instead, the exact number of them that hold each shingle, rarest first (``rare_posts``), so texts below 0.8 mostly
-   fill their prefixes with what they don't share. Two members of a wide bucket are both among them, so no link is lost.
+4. A bucket of more than WIDE members, whose pairs would grow with its square, is not paired. Wide buckets that have a
+   member in common form a class, and its frame is the set of shingles that more than half of the class holds. A member
+   is written as its differences from the frame, what it lacks and what it has beside it: sets of n and m shingles with d
+   and e differences, k of them common, are linked if and only if 18 k >= (9 d - n) + (9 e - m). Where the right side
+   is zero or less both are linked to the member whose 9 d - n is least, by a line for each member that needs no check.
+   All other links need a common difference, so a prefix filter over the differences, the rarest in the class first,
+   proposes them (``framed``). Its own wide buckets go the same way with classes and frames of their own, as long as
+   fewer members are left. Two members of a wide bucket are in one class, so no link is lost.
 5. Verification counts the common shingles of both whole sets; 9 common >= 4 (n + m) is similarity >= 0.8 in integers.
 """
 
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import StageTables, bare_scan, components
 
 WORDS, COMMON, WIDE = 5, 2, 64
+#: Wide buckets get frames again while at most this part of their members is left; then they are paired as they are.
+LEFT = 0.75
 #: Pairs that a step of the pairing holds, words whose hashes a task remembers, and shingles that it counts at once.
 STEP_PAIRS, KNOWN_WORDS, HELD_GRAMS = 1 << 18, 1 << 17, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -152,28 +159,54 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
 
-def _node_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) become a row (node, n, gram) for each shingle, n of them."""
+def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, class, text) become the counts (class, gram, c) of their batch's shingles."""
     known = _Hashes()
-    for part, _, texts in _slices(batches, 1):
-        nodes = part.column(0).to_numpy()
-        for at in range(0, len(texts), 16):
-            grams = [shingles(split(t), known) for t in texts[at : at + 16]]
-            sizes = np.array([len(g) for g in grams])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at : at + 16], sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(grams))], ["node", "n", "gram"])
-
+    for part, _, texts in _slices(batches, 2):
+        kinds = part.column(1).to_numpy()
+        for kind in np.unique(kinds):
+            mine = [shingles(split(texts[i]), known) for i in np.nonzero(kinds == kind)[0]]
+            grams, counts = np.unique(np.concatenate(mine), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), kind)), pa.array(grams), pa.array(counts.astype(np.int64))], ["class", "gram", "c"])
 
-def possible(n, at, m, there):
-    """Whether sets of n and m shingles that share those at places ``at`` and ``there`` first can reach 0.8."""
-    rest = np.minimum(n - at, m - there) if isinstance(n, np.ndarray) else F.least(n - at, m - there)
-    return 9 * rest >= 4 * (n + m)
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, class, text, frame) become a row (node, class, n, d, gram) for each of a node's d differences.
 
-def bucket_pairs(gram: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    What a node lacks is written as the complement of its number. A row without a gram stands for the node itself.
+    """
+    known = _Hashes()
+    for part, _, texts in _slices(batches, 2):
+        nodes, kinds = part.column(0).to_numpy(), part.column(1).to_numpy()
+        frames = [np.array(f or [], np.int64) for f in part.column(3).to_pylist()]
+        for at in range(0, len(texts), 16):
+            sets = [shingles(split(t), known) for t in texts[at : at + 16]]
+            differ = [np.r_[np.setdiff1d(x, f, assume_unique=True), ~np.setdiff1d(f, x, assume_unique=True)] for x, f in zip(sets, frames[at : at + 16])]
+            d = np.array([len(x) for x in differ])
+            flat = np.concatenate([np.r_[np.int64(0), x] for x in differ])
+            itself = np.zeros(len(flat), bool)
+            itself[np.cumsum(d + 1) - d - 1] = True
+            each = lambda column: np.repeat(column, d + 1)
+            columns = [each(nodes[at : at + 16]), each(kinds[at : at + 16]), each(np.array([len(x) for x in sets])).astype(np.int32), each(d).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(flat, mask=itself)], ["node", "class", "n", "d", "gram"])
+
+
+def possible(n, at, m, there, d=None, e=None):
+    """Whether sets of n and m shingles can reach 0.8 if of their d and e differences from a frame those at places
+    ``at`` and ``there`` are the first they share. Without d and e the frame is empty: all shingles are differences."""
+    d, e = n if d is None else d, m if e is None else e
+    rest = np.minimum(d - at, e - there) if isinstance(n, np.ndarray) else F.least(d - at, e - there)
+    return 18 * rest >= 9 * (d + e) - (n + m)
+
+
+def bucket_pairs(
+    gram: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarray, label: np.ndarray, d: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Possible pairs of unlike labels among rows sorted by (gram, label); equal neighbours in ``gram`` are a bucket.
 
     A row meets the rows of its bucket that come after its own label's, so members of one label are never paired.
     """
+    d = n if d is None else d
     starts = np.r_[True, gram[1:] != gram[:-1]]
     ends = np.r_[np.nonzero(starts)[0][1:], len(gram)]
     stop = ends[np.cumsum(starts) - 1]
@@ -187,14 +220,14 @@ def bucket_pairs(gram: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarr
         each = todo[lo:hi]
         i = np.repeat(np.arange(lo, hi), each)
         j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[lo:hi], each)
-        fits = possible(n[i], at[i], n[j], at[j])
+        fits = possible(n[i], at[i], n[j], at[j], d[i], d[j])
         i, j = node[i[fits]], node[j[fits]]
         yield np.minimum(i, j), np.maximum(i, j)
         lo = hi
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, n, at, node, label) come sorted by (gram, label); a bucket that a batch ends in waits for the next."""
+    """Rows (gram, n, at, node, label, d) come sorted by (gram, label); a bucket that a batch ends in waits for the next."""
     rest = None
 
     def paired(block: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -254,22 +287,50 @@ def _pivot_pairs(posts: DataFrame, fingerprint_links: Callable, tables: StageTab
     return apart.unionByName(same)
 
 
-def rare_posts(docs: DataFrame, nodes: DataFrame, tables: StageTables) -> DataFrame:
-    """``(gram, n, at, node)``: the prefixes of ``nodes(node)`` in the order of the number of them that hold a shingle.
+def framed(docs: DataFrame, wide: DataFrame, tables: StageTables) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` that are certain, and postings ``(gram, n, at, node, d)`` that propose all others.
 
-    Shingles of one node come first and meet nothing, so only their number counts.
+    ``wide(gram, node)`` are the members of wide buckets; links of two members of one bucket are meant.
     """
-    texts = docs.select("node", "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    grams = tables.keep(texts.mapInArrow(_node_grams, "node long, n int, gram long"), "jaccard-grams")
-    often = tables.keep(grams.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-often")
+    least = wide.groupBy("gram").agg(F.min("node").alias("a"))
+    lines = wide.join(least, "gram").select("a", F.col("node").alias("b")).distinct()
+    classes = tables.keep(components(docs.sparkSession, lines, tables).withColumnRenamed("label", "class"), "jaccard-classes")
+    texts = tables.keep(docs.select("node", "text").join(classes.hint("shuffle_hash"), "node").select("node", "class", "text"), "jaccard-class-texts")
+    counts = texts.mapInArrow(_class_grams, "class long, gram long, c long").groupBy("class", "gram").agg(F.sum("c").alias("c"))
+    sizes = classes.groupBy("class").agg(F.count("*").alias("size"))
+    most = counts.filter(2 * F.col("c") > WIDE).join(sizes, "class").filter(2 * F.col("c") > F.col("size"))
+    frames = tables.keep(most.groupBy("class").agg(F.collect_list("gram").alias("frame")), "jaccard-frames")
+    kind = "node long, class long, n int, d int, gram long"
+    apart = tables.keep(texts.join(frames, "class", "left").select("node", "class", "text", "frame").mapInArrow(_differences, kind), "jaccard-differences")
+    excess = 9 * F.col("d") - F.col("n")
+    nodes = apart.filter("gram IS NULL")
+    hubs = tables.keep(nodes.groupBy("class").agg(F.min(F.struct(excess.alias("excess"), "node")).alias("hub")), "jaccard-hubs")
+    h = F.col("hub.excess")
+    certain = nodes.join(hubs, "class").filter((excess + h <= 0) & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    certain = tables.keep(certain, "jaccard-certain")
+    # Differences of one node come first and meet nothing, so only their number counts.
+    often = apart.filter("gram IS NOT NULL").groupBy("class", "gram").agg(F.count("*").alias("c")).filter("c > 1")
     by = Window.partitionBy("node")
-    held = grams.join(often, "gram").withColumns({"rank": F.row_number().over(by.orderBy("c", "gram")), "held": F.count("*").over(by)})
-    held = held.withColumn("at", (F.col("n") - F.col("held") + F.col("rank") - 1).cast("int"))
-    size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    posts = tables.keep(held.filter(F.col("at") < size).select("gram", "n", "at", "node"), "jaccard-rare")
-    tables.drop(grams, often)
+    held = apart.join(often, ["class", "gram"]).withColumns({"rank": F.row_number().over(by.orderBy("c", "gram")), "held": F.count("*").over(by)})
+    held = held.withColumn("at", (F.col("d") - F.col("held") + F.col("rank") - 1).cast("int")).join(hubs, "class")
+    # The least excess of a node that may still be linked to this one: those of the hub's lines meet only others.
+    other = F.when(excess + h <= 0, 1 - h).otherwise(h)
+    posts = held.filter(18 * (F.col("d") - F.col("at")) >= excess + other)
+    posts = tables.keep(posts.select(F.xxhash64("class", "gram").alias("gram"), "n", "at", "node", "d"), "jaccard-framed")
+    tables.drop(classes, texts, frames, apart, hubs)
     tables.rest()
-    return posts
+    return certain, posts
+
+
+def labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    return posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def open_buckets(posts: DataFrame, labels: DataFrame, tables: StageTables) -> DataFrame:
+    """The postings of buckets that hold unlike labels, with ``label`` and the bucket's size ``c``."""
+    posts = labelled(posts, labels)
+    sizes = posts.groupBy("gram").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return tables.keep(posts.join(tables.keep(sizes.select("gram", "c"), "jaccard-open"), "gram"), "jaccard-dealt")
 
 
 def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, tables: StageTables, source: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -292,17 +353,23 @@ def links(docs: DataFrame, signed: DataFrame, fingerprint_links: Callable, table
     tables.rest()
     edges = _check(near, docs, tables, "jaccard-links")
     labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
-    dealt = shared.select("gram", "n", "at", "node").join(labels, "node", "left").select("gram", "n", "at", "node", F.coalesce("label", "node").alias("label"))
-    open_ones = dealt.groupBy("gram").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    dealt = tables.keep(dealt.join(tables.keep(open_ones.select("gram", "c"), "jaccard-open"), "gram"), "jaccard-dealt")
+    posts = open_buckets(shared.select("gram", "n", "at", "node", F.col("n").alias("d")), labels, tables)
     tables.drop(shared)
-    wide = tables.keep(dealt.filter(F.col("c") > WIDE).select("node", "label").distinct(), "jaccard-wide")
-    dealt = dealt.filter(F.col("c") <= WIDE).drop("c")
-    if not wide.isEmpty():
-        rare = rare_posts(docs, wide.select("node"), tables).join(wide, "node")
-        # Buckets of the two orders stay apart.
-        dealt = dealt.unionByName(rare.withColumn("gram", F.bitwise_not("gram")))
-    dealt = dealt.select("gram", "n", "at", "node", "label").repartition("gram").sortWithinPartitions("gram", "label")
+    dealt, before = posts.filter(F.col("c") <= WIDE), None
+    while members := posts.filter(F.col("c") > WIDE).select("node").distinct().count():
+        wide = posts.filter(F.col("c") > WIDE)
+        if before and members > LEFT * before:
+            dealt = dealt.unionByName(wide)
+            break
+        certain, found = framed(docs, wide.select("gram", "node"), tables)
+        edges, before = edges.unionByName(certain), members
+        labels = tables.keep(components(spark, edges, tables), "jaccard-labels")
+        posts = open_buckets(found, labels, tables)
+        tables.drop(found)
+        dealt = dealt.unionByName(posts.filter(F.col("c") <= WIDE))
+    if before:
+        dealt = labelled(dealt.drop("label"), labels)
+    dealt = dealt.select("gram", "n", "at", "node", "label", "d").repartition("gram").sortWithinPartitions("gram", "label")
     rest = tables.keep(dealt.mapInArrow(_pair_batches, "a long, b long").distinct().join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     tables.drop(near)
     tables.rest()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, simhash
@@ -116,6 +117,60 @@ def test_wide_buckets_are_dealt_by_a_second_order(spark, monkeypatch):
     assert 2 * proposed[4] < proposed[10**9]
 
 
+def test_candidates_of_a_group_grow_with_its_members(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line, rows = [word() for _ in range(8)], []
+    for members in (110, 60):  # two groups with a line in common; core copies link to their base, fringe ones don't
+        base = line + [word() for _ in range(112)]
+
+        def edited(words, edits):
+            words = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = word()
+            return words
+
+        rows += [" ".join(edited(base, rng.choice([0, 1, 2, 3, 4, 6]))) for _ in range(members)]
+        for _ in range(8):  # twins far from the base, which share their differences
+            far = edited(base, 9)
+            rows += [" ".join(edited(far, 1)) for _ in range(2)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keep, made = jaccard.StageTables.keep, {}
+
+    def noted(self, frame, name):
+        out = keep(self, frame, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.StageTables, "keep", noted)
+    monkeypatch.setattr(jaccard, "WIDE", 16)
+    got = jaccard.kept_rows(df, "doc_id", "text", lambda fps, tables: simhash.links(fps, tables))
+    assert {r.doc_id for r in got.collect()} == brute(rows)
+    assert made["jaccard-near"] + made["jaccard-rest"] < 2 * len(rows)
+
+
+def test_links_are_told_by_differences_from_a_frame():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.permutation(12)[: rng.integers(1, 13)]) for _ in range(40)] + [" ".join(f"w{x}" for x in range(k, 40)) for k in range(8)]
+    known = jaccard._Hashes()
+    sets = [jaccard.shingles(t.split(), known) for t in texts]
+    frame = sets[-3]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([7] * len(texts)), pa.array(texts), pa.array([frame.tolist()] * len(texts))], ["node", "class", "text", "frame"])
+    found = pa.Table.from_batches(list(jaccard._differences(iter([batch])))).to_pylist()
+    d = {r["node"]: r["d"] for r in found if r["gram"] is None}
+    apart = {k: {r["gram"] for r in found if r["node"] == k and r["gram"] is not None} for k in d}
+    links = 0
+    for i, x in enumerate(sets):
+        assert d[i] == len(apart[i]) == len(np.setxor1d(x, frame))
+        for j, y in enumerate(sets):
+            linked = 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+            assert linked == (18 * len(apart[i] & apart[j]) >= 9 * d[i] - len(x) + 9 * d[j] - len(y))
+            links += linked and i != j
+    assert links > 10
+
+
 def test_few_edges_on_the_driver_equal_the_star_steps(spark):
     from lodestone.llm.common import StageTables, components
 
